@@ -127,6 +127,17 @@ def marginals(emission: np.ndarray, fresh: np.ndarray, start: np.ndarray, step:
     return probability, steps, np.array([fresh.sum() - first, first])
 
 
+def _by_parts(emission: np.ndarray, fresh: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray, part: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`marginals`, a bounded number of whole chains at a time."""
+    out, lo = [], 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + part, side="right")) - 1)
+        a, b = first[lo], first[hi]
+        out.append(marginals(emission[a:b], fresh[a:b], start, step))
+        lo = hi
+    return np.concatenate([p for p, _, _ in out]), sum(s for _, s, _ in out), sum(f for _, _, f in out)
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -227,34 +238,42 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float
     nothing = Model(np.zeros(1 << BITS, np.float32), -10.0, np.array([0.0, -5.0]), np.zeros((2, 2)), np.array([-5.0, 0.0, 0.0, 0.0]))
     if not len(toxic) or toxic.all() or not toxic.any():
         return nothing
-    hashes, spelled, counts, sketches = [], [], [], []
+    # Each distinct word is spelled out once, however many texts hold it.
+    known, spelled_all, stems_all = np.zeros(0, np.uint64), [], []
+    hashes, counts, sketches = [], [], []
     for _, _, buf, bounds in K.slices(texts):
         text, starts, ends, first = words_of(buf, bounds)
-        h, at = np.unique(K.word_hashes(text, starts, ends), return_index=True)
         hashes.append(K.word_hashes(text, starts, ends))
-        at = np.sort(at)
-        stems = [K.word_hashes(text, starts[at], np.minimum(starts[at] + k, ends[at])) for k in STEMS]
-        whole = K.word_hashes(text, starts[at], ends[at])
-        spelled.append((whole, spelling(text, starts[at], ends[at]), np.column_stack([whole, *stems])))
         counts.append(np.diff(first))
         sketches.append(_sketches(hashes[-1], first))
+        new, at = np.unique(hashes[-1], return_index=True)
+        at = np.sort(at[~np.isin(new, known, assume_unique=True)])
+        whole = K.word_hashes(text, starts[at], ends[at])
+        spelled_all.append((whole, spelling(text, starts[at], ends[at])))
+        stems_all.append([whole, *[K.word_hashes(text, starts[at], np.minimum(starts[at] + k, ends[at])) for k in STEMS]])
+        known = np.union1d(known, whole)
     count = np.concatenate(counts)
-    known, at = np.unique(np.concatenate([h for h, _, _ in spelled]), return_index=True)
     if not len(known):
         return nothing
-    spelled_all = np.concatenate([s for _, s, _ in spelled])[at]
-    units, unit_of = np.unique(np.concatenate([u for _, _, u in spelled])[at], return_inverse=True)
-    unit_of = unit_of.reshape(len(known), -1)
-    word = np.searchsorted(known, np.concatenate(hashes))
-    row = np.repeat(np.arange(len(count)), count)
+    order = np.argsort(np.concatenate([h for h, _ in spelled_all]))
+    spelled_all = np.concatenate([s for _, s in spelled_all])[order]
+    stems_all = [np.concatenate(kind)[order] for kind in zip(*stems_all, strict=True)]
+    word = np.searchsorted(known, np.concatenate(hashes)).astype(np.int32)
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
     held = np.unique(word * np.int64(len(count)) + row)
     held = held[_originals(np.concatenate(sketches))[held % len(count)]]
-    pairs = np.unique((unit_of[held // len(count)] * np.int64(len(count)) + (held % len(count))[:, None]).ravel())
-    in_unit, in_row = pairs // len(count), pairs % len(count)
-    is_seed = seeds(np.bincount(in_unit, weights=toxic[in_row], minlength=len(units)), np.bincount(in_unit, minlength=len(units)))
-    is_seed = is_seed[unit_of].any(1)
-    # All toxic documents, and as many clean words again: the first clean documents, in the order of the sample.
-    use = toxic | (np.cumsum(np.where(toxic, 0, count)) <= 2 * count[toxic].sum())
+    in_toxic, in_all, unit_of = [], [], []
+    for kind in stems_all:
+        units, of = np.unique(kind, return_inverse=True)
+        pairs = np.unique(of[held // len(count)] * np.int64(len(count)) + held % len(count))
+        in_all.append(np.bincount(pairs // len(count), minlength=len(units)))
+        in_toxic.append(np.bincount(pairs // len(count), weights=toxic[pairs % len(count)], minlength=len(units)))
+        unit_of.append(of + sum(map(len, in_all[:-1])))
+    seed_units = seeds(np.concatenate(in_toxic), np.concatenate(in_all))
+    is_seed = np.logical_or.reduce([seed_units[of] for of in unit_of])
+    del held, pairs, hashes, stems_all, unit_of
+    # All toxic documents, and as many clean words: the first clean documents, in the order of the sample.
+    use = toxic | (np.cumsum(np.where(toxic, 0, count)) <= count[toxic].sum())
     pick = use[row]
     word, row, count = word[pick], row[pick], count[use]
     label = (is_seed[word] & toxic[row]).astype(np.float64)
@@ -267,13 +286,12 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float
     square = [np.zeros_like(x) + 1e-6 for x in (w, bias, start, step)]
     scale = 1.0 / max(label.sum(), 1.0)
     used = np.unique(word)
-    flat = spelled_all[used].ravel()
     for _ in range(rounds):
-        emission = (w[spelled_all].sum(1) + bias[0])[word]
-        probability, steps, firsts = marginals(emission, fresh, start, step)
+        emission = (sum(w[kind] for kind in spelled_all.T) + bias[0])[word]
+        probability, steps, firsts = _by_parts(emission, fresh, first, start, step)
         error = np.bincount(word, weights=probability - label, minlength=len(known))
         grads = [
-            np.bincount(flat, weights=np.repeat(error[used], _N_FEATURES), minlength=len(w)) * scale + decay * w,
+            sum(np.bincount(kind, weights=error[used], minlength=len(w)) for kind in spelled_all[used].T) * scale + decay * w,
             np.array([error.sum()]) * scale,
             (firsts - seen_first) * scale + decay * start,
             (steps - seen_steps) * scale + decay * step,
