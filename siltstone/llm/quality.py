@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import arrow_map, arrow_schema, crc_of_id, fields, md5_int
+from .frames import arrow_map, arrow_schema, crc_of_id, fields, give_back_memory, md5_int
 
 MAX_POSITIVE, MAX_UNLABELLED = 12_000, 12_000
 HELD_OUT_OF, HELD_OUT = 3, 1
@@ -213,7 +213,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # A limit on ids, then their texts: no sort carries texts.
     some = docs.where(~held_out("k")).select("k", md5_int(F.lit("unlabelled"), F.col("k")).alias("h")).orderBy("h", "k").limit(max_unlabelled)
     unlabelled = docs.join(F.broadcast(some.dropDuplicates(["k"])), "k")
-    return fit_arrays(*[_matrix(_described(rows, "h")) for rows in (positive, unlabelled)])
+    model = fit_arrays(*[_matrix(_described(rows, "h")) for rows in (positive, unlabelled)])
+    give_back_memory()
+    return model
 
 
 def score_documents(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

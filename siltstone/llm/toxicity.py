@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .frames import arrow_map, arrow_schema, crc_of_id, fields, md5_int
+from .frames import arrow_map, arrow_schema, crc_of_id, fields, give_back_memory, md5_int
 from .quality import filter_rows
 
 MAX_DOCUMENTS, MAX_BYTES = 8_000, 1 << 16
@@ -238,40 +238,54 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float
     nothing = Model(np.zeros(1 << BITS, np.float32), -10.0, np.array([0.0, -5.0]), np.zeros((2, 2)), np.array([-5.0, 0.0, 0.0, 0.0]))
     if not len(toxic) or toxic.all() or not toxic.any():
         return nothing
-    # Each distinct word is spelled out once, however many texts hold it.
-    known, spelled_all, stems_all = np.zeros(0, np.uint64), [], []
-    hashes, counts, sketches = [], [], []
-    for _, _, buf, bounds in K.slices(texts):
+    # Each distinct word gets a number and is spelled out once, however many texts hold it; a token is its number.
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    spelled_all, stems_all, tokens, held_words, held_rows, counts, sketches = [], [], [], [], [], [], []
+    for lo, hi, buf, bounds in K.slices(texts):
         text, starts, ends, first = words_of(buf, bounds)
-        hashes.append(K.word_hashes(text, starts, ends))
+        words = K.word_hashes(text, starts, ends)
         counts.append(np.diff(first))
-        sketches.append(_sketches(hashes[-1], first))
-        new, at = np.unique(hashes[-1], return_index=True)
+        sketches.append(_sketches(words, first))
+        new, at = np.unique(words, return_index=True)
         at = np.sort(at[~np.isin(new, known, assume_unique=True)])
-        whole = K.word_hashes(text, starts[at], ends[at])
-        spelled_all.append((whole, spelling(text, starts[at], ends[at])))
+        whole = words[at]
+        spelled_all.append(spelling(text, starts[at], ends[at]))
         stems_all.append([whole, *[K.word_hashes(text, starts[at], np.minimum(starts[at] + k, ends[at])) for k in STEMS]])
-        known = np.union1d(known, whole)
-    count = np.concatenate(counts)
+        number = np.concatenate([number, np.arange(len(known), len(known) + len(at), dtype=np.int32)])
+        known = np.concatenate([known, whole])
+        order = np.argsort(known)
+        known, number = known[order], number[order]
+        tokens.append(number[np.searchsorted(known, words)])
+        pairs = np.unique(tokens[-1] * np.int64(hi - lo) + np.repeat(np.arange(hi - lo), counts[-1]))
+        held_words.append((pairs // (hi - lo)).astype(np.int32))
+        held_rows.append((pairs % (hi - lo) + lo).astype(np.int32))
     if not len(known):
         return nothing
-    order = np.argsort(np.concatenate([h for h, _ in spelled_all]))
-    spelled_all = np.concatenate([s for _, s in spelled_all])[order]
-    stems_all = [np.concatenate(kind)[order] for kind in zip(*stems_all, strict=True)]
-    word = np.searchsorted(known, np.concatenate(hashes)).astype(np.int32)
-    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
-    held = np.unique(word * np.int64(len(count)) + row)
-    held = held[_originals(np.concatenate(sketches))[held % len(count)]]
+    count, known = np.concatenate(counts), np.arange(len(known))
+    spelled_all = np.concatenate(spelled_all)
+    stems_all = [np.concatenate(kind) for kind in zip(*stems_all, strict=True)]
+    word, row = np.concatenate(tokens), np.repeat(np.arange(len(count), dtype=np.int32), count)
+    held_word, held_row = np.concatenate(held_words), np.concatenate(held_rows)
+    original = _originals(np.concatenate(sketches))[held_row]
+    held_word, held_row = held_word[original], held_row[original]
+    del tokens, held_words, held_rows, original
     in_toxic, in_all, unit_of = [], [], []
-    for kind in stems_all:
-        units, of = np.unique(kind, return_inverse=True)
-        pairs = np.unique(of[held // len(count)] * np.int64(len(count)) + held % len(count))
-        in_all.append(np.bincount(pairs // len(count), minlength=len(units)))
-        in_toxic.append(np.bincount(pairs // len(count), weights=toxic[pairs % len(count)], minlength=len(units)))
-        unit_of.append(of + sum(map(len, in_all[:-1])))
+    while stems_all:
+        units, of = np.unique(stems_all.pop(0), return_inverse=True)
+        unit = of[held_word]
+        total, bad = np.zeros(len(units), dtype=np.int64), np.zeros(len(units))
+        # In eight parts, as each part sorts what it counts.
+        for part in range(8):
+            some = np.flatnonzero(unit % 8 == part)
+            pairs = np.unique(unit[some] * np.int64(len(count)) + held_row[some])
+            total += np.bincount(pairs // len(count), minlength=len(units))
+            bad += np.bincount(pairs // len(count), weights=toxic[pairs % len(count)], minlength=len(units))
+        unit_of.append((of + sum(map(len, in_all))).astype(np.int32))
+        in_all.append(total)
+        in_toxic.append(bad)
     seed_units = seeds(np.concatenate(in_toxic), np.concatenate(in_all))
     is_seed = np.logical_or.reduce([seed_units[of] for of in unit_of])
-    del held, pairs, hashes, stems_all, unit_of
+    del held_word, held_row, unit, of, unit_of
     # All toxic documents, and as many clean words: the first clean documents, in the order of the sample.
     use = toxic | (np.cumsum(np.where(toxic, 0, count)) <= count[toxic].sum())
     pick = use[row]
@@ -330,7 +344,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # Broadcast: at most max_documents ids. An id that several rows share counts once.
     sample = docs.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("h").alias("h"), F.min("y").alias("y"), F.min("text").alias("text")).toArrow()
     sample = sample.sort_by([("h", "ascending"), ("k", "ascending")])
-    return fit_texts(sample["text"], sample["y"].to_numpy().astype(bool))
+    model = fit_texts(sample["text"], sample["y"].to_numpy().astype(bool))
+    del sample
+    give_back_memory()
+    return model
 
 
 SCORED = fields("score double, predicted int, n_toxic_words long, spans:start:int,length:int")
