@@ -100,13 +100,10 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
 
     `size` names a column that holds the sizes already; otherwise they are the words of `text`.
     """
-    sized = df.withColumns(
-        {
-            "_size": F.col(size) if size else n_words(F.col(text)),
-            # "0" before a name, "1" for none: by code point, null last.
-            "_skey": F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")),
-        }
-    )
+    # Generated rather than projected, so that counting isn't repeated wherever the size is used.
+    sized = df.select("*", F.explode(F.array(F.col(size) if size else n_words(F.col(text)))).alias("_size"))
+    # "0" before a name, "1" for none: by code point, null last.
+    sized = sized.withColumn("_skey", F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")))
     narrow = durable(sized.select(key, "_size", "_skey"))
     per_source = durable(sources_of(narrow.select(F.col("_size").alias("size"), F.col("_skey").alias("skey")), weights, share, cap).withColumnRenamed("skey", "_skey"), partitions=1)
     if per_source.count() <= BROADCAST_SOURCES:
