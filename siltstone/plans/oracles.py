@@ -103,9 +103,9 @@ _BODIES = {
     "client_counts": "SELECT client_id, count(*) AS transactions FROM alltx GROUP BY client_id",
     "q1_by_client": "SELECT client_id, from_bank, from_account, to_bank, to_account, amount_paid FROM alltx WHERE payment_currency = 'US Dollar' AND amount_paid < 50",
     "q4_by_client": "SELECT client_id, a_bank AS bank, a_account AS account FROM cpairs UNION SELECT client_id, c_bank, c_account FROM cpairs",
-    "report_union": """SELECT 'q1' AS query, from_bank, from_account, amount_paid, NULL::BIGINT AS n FROM q1
-        UNION ALL SELECT 'q2', from_bank, from_account, amount_paid, NULL FROM q2 UNION ALL SELECT 'q3', from_bank, from_account, amount_paid, NULL FROM q3
-        UNION ALL SELECT 'q4', bank, account, NULL, NULL FROM q4 UNION ALL SELECT 'q5', NULL, NULL, NULL, count(*) FROM q5""",
+    "report_union": """SELECT 'q1' AS query, from_bank, from_account, amount_paid, 0::BIGINT AS n FROM q1
+        UNION ALL SELECT 'q2', from_bank, from_account, amount_paid, 0 FROM q2 UNION ALL SELECT 'q3', from_bank, from_account, amount_paid, 0 FROM q3
+        UNION ALL SELECT 'q4', bank, account, 0, 0 FROM q4 UNION ALL SELECT 'q5', 0, '', 0, count(*) FROM q5""",
     "batch_json_roundtrip": "SELECT * FROM alltx",
     "route_partitions": f"SELECT from_bank % {ROUTES} AS route, count(*) AS n, count(DISTINCT from_bank) AS banks FROM tx GROUP BY 1",
     "stream_q1": "SELECT * FROM q1",

@@ -81,7 +81,9 @@ def report_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         "q4": graph.scatter_gather(tx, S).toDF("from_bank", "from_account"),
         "q5": q5_count(spark, sf_dir),
     }
-    return sinks.report(results).select("query", "from_bank", "from_account", "amount_paid", "n")
+    tagged = sinks.report(results)
+    # What a result lacks reads as zero or empty here.
+    return tagged.na.fill(0, ["from_bank", "amount_paid", "n"]).na.fill("", ["from_account"]).select("query", "from_bank", "from_account", "amount_paid", "n")
 
 
 def batch_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
