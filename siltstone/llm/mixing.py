@@ -13,7 +13,7 @@ per hash bucket within a class, and rows within a bucket. Buckets are as many as
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; a source of
 size 0 has target 0 and takes nothing; repeated rows are separate documents; equal rows tie and are numbered
-in any order, all with the same result in sum; an empty table gives no rows; extra columns are kept by `mix`.
+in any order, all with the same result in sum; an empty table gives no rows; extra columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -96,31 +96,33 @@ def _placed(df: DataFrame, key: str) -> DataFrame:
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
-    """All rows and columns of `df`, with _size, _source_size, _target, _copies (how often the mix holds the row).
+    """All rows of `df`: _row (a struct of its columns), _size, _source_size, _target, _copies (how often the mix holds it).
 
     `size` names a column that holds the sizes already; otherwise they are the words of `text`.
     """
-    # Generated rather than projected, so that counting isn't repeated wherever the size is used.
-    sized = df.select("*", F.explode(F.array(F.col(size) if size else n_words(F.col(text)))).alias("_size"))
+    # The row travels as one struct, so that none of its columns can clash with those added here. The size is
+    # generated rather than projected, so that counting isn't repeated wherever it is used.
+    boxed = df.select(F.struct("*").alias("_row"))
+    sized = boxed.select("_row", F.col(f"_row.{key}").alias("_key"), F.explode(F.array(F.col(f"_row.{size}") if size else n_words(F.col(f"_row.{text}")))).alias("_size"))
     # "0" before a name, "1" for none: by code point, null last.
-    sized = sized.withColumn("_skey", F.coalesce(F.concat(F.lit("0"), F.col(source).cast("string")), F.lit("1")))
-    narrow = durable(sized.select(key, "_size", "_skey"))
+    sized = sized.withColumn("_skey", F.coalesce(F.concat(F.lit("0"), F.col(f"_row.{source}").cast("string")), F.lit("1")))
+    narrow = durable(sized.select("_key", "_size", "_skey"))
     per_source = durable(sources_of(narrow.select(F.col("_size").alias("size"), F.col("_skey").alias("skey")), weights, share, cap).withColumnRenamed("skey", "_skey"), partitions=1)
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    buckets = _placed(narrow.join(per_source.select("_skey", "buckets"), "_skey"), key).groupBy("_skey", "_class", "_bucket").agg(F.count("*").alias("n"))
+    buckets = _placed(narrow.join(per_source.select("_skey", "buckets"), "_skey"), "_key").groupBy("_skey", "_class", "_bucket").agg(F.count("*").alias("n"))
     buckets = durable(buckets)
     running = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     classes = buckets.groupBy("_skey", "_class").agg(F.sum("n").alias("class_n"))
     classes = classes.withColumn("class_before", F.coalesce(F.sum("class_n").over(running("_skey", "_class")), F.lit(0)))
     buckets = buckets.withColumn("bucket_before", F.coalesce(F.sum("n").over(running("_skey", "_class", "_bucket")), F.lit(0)))
     before = buckets.join(classes, ["_skey", "_class"]).select("_skey", "_class", "_bucket", (F.col("class_before") + F.col("bucket_before")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_skey", "_class", "_bucket").orderBy("_hash", F.col(key).asc_nulls_first(), "_size"))
-    rows = _placed(sized.join(per_source, "_skey"), key).withColumn("_nth", nth).join(before, ["_skey", "_class", "_bucket"])
+    nth = F.row_number().over(Window.partitionBy("_skey", "_class", "_bucket").orderBy("_hash", F.col("_key").asc_nulls_first(), "_size"))
+    rows = _placed(sized.join(per_source, "_skey"), "_key").withColumn("_nth", nth).join(before, ["_skey", "_class", "_bucket"])
     rank = F.col("_before") + F.col("_nth")
     crossed = F.floor(F.col("offset") + rank * F.col("copies")) - F.floor(F.col("offset") + (rank - 1) * F.col("copies"))
     return rows.select(
-        *[F.col(c) for c in df.columns],
+        "_row",
         "_size",
         F.col("source_size").alias("_source_size"),
         F.col("target").alias("_target"),
@@ -130,4 +132,4 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
 
 def take(df: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of `df` as many times as the mix holds it, with the columns of `df`."""
-    return mix(df, **options).withColumn("_nth", F.explode(F.sequence(F.lit(0), F.col("_copies")))).where(F.col("_nth") > 0).select(*df.columns)
+    return mix(df, **options).withColumn("_nth", F.explode(F.sequence(F.lit(0), F.col("_copies")))).where(F.col("_nth") > 0).select("_row.*")

@@ -334,6 +334,8 @@ class Join:
     may link, `links` (a, b, overlap, n_a, n_b) between classes, and `labels` (node, component) of linked classes."""
 
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, all_links: bool = False):
+        # No other column of `df` goes any further, whatever its name.
+        df, key, text = df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"
         self.members = durable(named_sets(df, key, text, size))
         self.classes = durable(self.members.where("cls is not null").groupBy("cls", "n").agg(F.min("key").alias("first_key"), F.count("*").alias("copies")))
         total = self.members.agg(F.sum("n")).first()[0] or 0
@@ -388,12 +390,14 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     chosen = docs.where(F.col("_key").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     chosen = chosen.groupBy("component").agg(F.min(F.struct("_key", "cls")).alias("it")).select("it._key", F.col("it.cls").alias("_cls"))
     shared_ids = docs.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key")
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = df.where(~wordless)
+    # The row travels as one struct, so that none of its columns can clash with those added here.
+    boxed = df.select(F.struct("*").alias("_row")).select("_row", F.col(f"_row.{key}").alias("_id"), F.col(f"_row.{text}").alias("_text"))
+    same = F.col("_id").eqNullSafe(F.col("_key"))
+    wordless = ~F.coalesce("_text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = boxed.where(~wordless)
     single = worded.join(chosen.join(shared_ids.withColumnRenamed("_key", "_other"), F.col("_key").eqNullSafe(F.col("_other")), "left_anti"), same, "left_semi")
     # Where several rows share an id, the row is known by its own set.
-    named = with_class(worded.join(shared_ids, same, "left_semi"), text, size, "_cls")
+    named = with_class(worded.join(shared_ids, same, "left_semi"), "_text", size, "_cls")
     picked = chosen.select("_key", F.col("_cls").alias("_chosen"))
-    several = named.join(picked, same & (F.col("_cls") == F.col("_chosen")), "left_semi").dropDuplicates([key, "_cls"]).drop("_cls")
-    return df.where(wordless).unionByName(single).unionByName(several)
+    several = named.join(picked, same & (F.col("_cls") == F.col("_chosen")), "left_semi").dropDuplicates(["_id", "_cls"]).drop("_cls")
+    return boxed.where(wordless).unionByName(single).unionByName(several).select("_row.*")

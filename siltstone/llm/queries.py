@@ -67,11 +67,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = durable(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
     mixed = mixing.mix(sized, size="size")
     return mixed.select(
-        "doc_id",
-        "size",
+        "_row.doc_id",
+        "_row.size",
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("size") * F.col("_copies")).cast("long").alias("taken"),
+        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
         F.col("_copies").alias("copies"),
     )
 

@@ -276,16 +276,14 @@ def test_targets_fill_to_the_brim():
 
 
 def test_mixing(spark):
-    df = corpus(spark).unionByName(hostile(spark)).withColumn("_copies_", F.lit(1))
-    mixed = mixing.mix(df)
-    assert mixed.columns[: len(df.columns)] == df.columns
-    rows = mixed.collect()
+    df = corpus(spark).unionByName(hostile(spark))
+    rows = mixing.mix(df).collect()
     sizes = {}
     for r in df.collect():
         sizes[r.source] = sizes.get(r.source, 0) + len(SPACE.findall(r.text or ""))
     expected = mixing.targets(sizes, (5, 2, 1), 1.5, 2.0)
     for source, target in expected.items():
-        own = [r for r in rows if r.source == source]
+        own = [r for r in rows if r._row.source == source]
         assert all(r._target == pytest.approx(target) and r._source_size == sizes[source] and r._copies <= 2 for r in own)
         largest = max(r._size for r in own)
         assert abs(sum(r._size * r._copies for r in own) - target) <= 2 * largest
@@ -294,6 +292,22 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.take(df).columns == df.columns
 
 
+CLASHES = "_row _key _id _text _cls _chosen _size _skey _class _bucket _hash _nth _before _copies buckets copies offset target source_size size n cls key g comp component component_id h k x score predicted spans vslot shard slot start length ids sequence_id merge_group".split()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs, labels = labelled(spark, 60)
+    wide = docs.withColumns({c: F.lit("?") for c in CLASHES})
+    assert mixing.take(wide).columns == ngram_join.one_of_each(wide).columns == wide.columns
+    assert sorted(r._copies for r in mixing.mix(wide).collect()) == sorted(r._copies for r in mixing.mix(docs).collect())
+    assert ngram_join.one_of_each(wide).count() == ngram_join.one_of_each(docs).count()
+    for module, kept in ((quality, quality.keep_good), (toxicity, toxicity.drop_toxic)):
+        model = module.fit(wide, labels.withColumns({c: F.lit(1) for c in CLASHES}))
+        assert module.score_documents(wide, model).count() == 60 and kept(wide, model).columns == wide.columns
+    for got in (packing.pack(wide), repetition.score(wide), licenses.scan(wide), media.read_tiles(media.tile_texts(wide)), sharding.assign(wide, sharding.SlotMap.build(3))):
+        assert got.count() >= 60
+
+
 def brute_repeats(words):
     out = []
     for i in range(len(words)):
