@@ -18,6 +18,10 @@ each list of documents with a common rare n-gram is compared with the member who
 across components are tested, in blocks of at most BLOCK rows, by length and by a bitmap bound that never rejects
 a true link. So no link between components is lost, and no list is capped. `all_links=True` spells out every link.
 
+The number of links of a document needs no list of them: all its links are inside its component, whose classes are
+dealt into chunks; each pair of chunks is one block, in which overlaps are again counted fragment by fragment and
+summed per pair, and which returns one sum per class. Copies count as links.
+
 Words are compared by 64-bit hashes. Texts must be re-readable with the same result, as tables are.
 
 Defined results: null texts, empty texts and texts without words have empty sets, link with nothing and are their
@@ -33,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +55,10 @@ MIN_FRAGMENTS = 16
 SEGMENT_BITS = 3
 #: Rows of one side of a block in the comparison across components.
 BLOCK = 2048
+#: Classes and n-grams that a chunk of a component holds on average at most when links are counted.
+CHUNK_CLASSES, CHUNK_GRAMS = 512, 1_000_000
+#: N-grams of one fragment of such a block.
+_FRAGMENT = 2048
 _BITMAP = 2048
 
 
@@ -275,6 +284,30 @@ def block_pairs(g: np.ndarray, side: np.ndarray, cls: np.ndarray, comp: np.ndarr
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of batches that are sorted by `keys`, in tables that cut no group, and the number of each row's group."""
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        columns = [table[k].combine_chunks() for k in keys]
+        differs = np.logical_or.reduce([np.asarray(pc.not_equal(c[1:], c[:-1])) for c in columns])
+        return np.concatenate([[0], np.cumsum(differs)])
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        if not len(table):
+            continue
+        # The last group may go on in the next batch.
+        group = numbers(table)
+        cut = int(np.searchsorted(group, group[-1]))
+        rest = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut), group[:cut]
+    if rest is not None and len(rest):
+        yield rest, np.zeros(len(rest), dtype=np.int64)
+
+
 def cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
     """a, b: pairs with a common rare n-gram, of different components, that length and bitmaps don't rule out.
 
@@ -299,36 +332,77 @@ def cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame | None, per
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = arrow_schema(_PAIR)
-        rest: pa.Table | None = None
-
-        def tested(table: pa.Table) -> pa.RecordBatch:
-            g, i, j, side, n = (table[c].to_numpy() for c in ("g", "i", "j", "side", "n"))
-            group = np.concatenate([[0], np.cumsum((g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))])
+        for table, group in whole_groups(batches, "g", "i", "j"):
+            side, n = (table[c].to_numpy() for c in ("side", "n"))
             numbers = [np.unique(np.frombuffer(b"".join(table[c].to_pylist()), "V16").view("u8").reshape(-1, 2), axis=0, return_inverse=True)[1].ravel() for c in ("cls", "comp")]
-            bitmap = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(g), -1)
+            bitmap = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(n), -1)
             a, b = block_pairs(group, side, *numbers, n, bitmap, percent)
             names = table["cls"].to_pylist()
             pairs = {(min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], schema=arrow)
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            if not len(table):
-                continue
-            # The last group may go on in the next batch.
-            key = [table[c].to_numpy() for c in ("g", "i", "j")]
-            same = np.logical_and.reduce([k == k[-1] for k in key])
-            cut = int(np.argmax(same))
-            rest = table.slice(cut)
-            if cut:
-                yield tested(table.slice(0, cut))
-        if rest is not None and len(rest):
-            yield tested(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], schema=arrow)
 
     return arrow_map(dealt, work, _PAIR).distinct()
 
 
+def block_degrees(grams: np.ndarray, sizes: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For each row of a block, the copies of all rows that it links with: rows of `left` against rows of `right`.
+
+    Both hold places of rows; they are the same or have none in common. `grams` holds the rows' n-grams end to end.
+    """
+    _, at, held = np.unique(grams, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    # Only n-grams of several rows overlap; they are numbered anew, in their order.
+    several = held > 1
+    row, at = row[several[at]], (np.cumsum(several) - 1)[at[several[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    overlap = np.zeros((len(left), len(right)), dtype=np.int64)
+    for lo in range(0, int(several.sum()), _FRAGMENT):
+        a, b = np.searchsorted(at, [lo, lo + _FRAGMENT])
+        has = np.zeros((len(sizes), int(at[b - 1]) + 1 - lo), dtype=np.float32)
+        has[row[a:b], at[a:b] - lo] = 1
+        overlap += (has[left] @ has[right].T).astype(np.int64)
+    links = 100 * overlap >= percent * (sizes[left][:, None] + sizes[right][None, :] - overlap)
+    out = np.zeros(len(sizes), dtype=np.int64)
+    if np.array_equal(left, right):
+        np.fill_diagonal(links, False)
+        out[left] = links @ copies[right]
+    else:
+        out[left], out[right] = links @ copies[right], links.T @ copies[left]
+    return out
+
+
+_BLOCKS = fields("component binary, i int, j int, chunk int, cls binary, copies long")
+_DEGREE = fields("cls binary, linked long")
+
+
+def degrees(sets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """cls, linked: how many documents of other classes each linked class links with."""
+    narrow = durable(labels.withColumnRenamed("node", "cls").join(classes.select("cls", "n", "copies"), "cls"))
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int")
+    dealt = narrow.join(narrow.groupBy("component").agg(chunks.alias("chunks")), "component").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = other.select("component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "copies")
+    rows = blocks.join(sets.select("cls", F.flatten("segments").alias("grams")), "cls").select(*_BLOCKS.fieldNames(), "grams")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = arrow_schema(_DEGREE)
+        for table, group in whole_groups(batches, "component", "i", "j"):
+            i, j, chunk, copies = (table[c].to_numpy() for c in ("i", "j", "chunk", "copies"))
+            lists = table["grams"].combine_chunks()
+            sizes, grams = np.asarray(pc.list_value_length(lists)).astype(np.int64), lists.flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            linked = np.zeros(len(group), dtype=np.int64)
+            cuts = np.searchsorted(group, np.arange(group[-1] + 2))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                left, right = np.flatnonzero(chunk[a:b] == i[a]), np.flatnonzero(chunk[a:b] == j[a])
+                linked[a:b] = block_degrees(grams[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b], copies[a:b], left, right, percent)
+            yield pa.RecordBatch.from_arrays([table["cls"].combine_chunks().cast(pa.binary()), pa.array(linked)], schema=arrow)
+
+    return arrow_map(rows, work, _DEGREE).groupBy("cls").agg(F.sum("linked").alias("linked"))
+
+
 class Join:
     """The join's tables: `members` (key, n, cls), `classes` (cls, n, first_key, copies), `sets` of those classes that
     may link, `links` (a, b, overlap, n_a, n_b) between classes, and `labels` (node, component) of linked classes."""
@@ -336,6 +410,7 @@ class Join:
     def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, all_links: bool = False):
         # No other column of `df` goes any further, whatever its name.
         df, key, text = df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"
+        self.percent = percent
         self.members = durable(named_sets(df, key, text, size))
         self.classes = durable(self.members.where("cls is not null").groupBy("cls", "n").agg(F.min("key").alias("first_key"), F.count("*").alias("copies")))
         total = self.members.agg(F.sum("n")).first()[0] or 0
@@ -369,6 +444,12 @@ class Join:
             "component",
         )
 
+    def with_links(self, key: str = "doc_id") -> DataFrame:
+        """`documents` with n_links: how many other documents each links with, copies included."""
+        linked = durable(degrees(self.sets, self.labels, self.classes, self.percent))
+        n_links = F.when(F.col("cls").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+        return self.documents(key).join(linked, "cls", "left").withColumn("n_links", n_links.cast("long")).drop("linked")
+
 
 def with_class(df: DataFrame, text: str, size: int, column: str) -> DataFrame:
     """All columns of `df` and the name of each row's set."""

@@ -89,13 +89,14 @@ links AS (
     SELECT a, b FROM pairs JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * o >= 80 * (x.n + y.n - o)
 ),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+degree AS (SELECT a AS r, count(*) AS n_links FROM both_ways GROUP BY a),
 reach(r, t) AS (SELECT r, r FROM words UNION SELECT reach.r, b FROM reach JOIN both_ways ON a = t),
 least_id AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN words ON words.r = t GROUP BY reach.r),
 -- Rows with equal sets.
 copy_of AS (SELECT r, sha256(array_to_string(list_sort(list(g)), chr(10))) AS h FROM shingles GROUP BY r),
 copies AS (SELECT h, count(*) AS copies FROM copy_of GROUP BY h)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(copies, 1)::BIGINT AS copies
-FROM words JOIN least_id USING (r) LEFT JOIN sizes USING (r) LEFT JOIN copy_of USING (r) LEFT JOIN copies USING (h)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(copies, 1)::BIGINT AS copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM words JOIN least_id USING (r) LEFT JOIN sizes USING (r) LEFT JOIN degree USING (r) LEFT JOIN copy_of USING (r) LEFT JOIN copies USING (h)
 """
 
 ORACLES = {"op1_ngram_jaccard_join": _JOIN, "op3_chat_formatting": _CHAT, "op7_mixing": _MIX}

@@ -63,7 +63,7 @@ def shingles(text, size=5):
 
 def brute_components(rows):
     sets = [shingles(r.text) for r in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while parent[i] != i:
@@ -73,20 +73,31 @@ def brute_components(rows):
     for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
             parent[find(j)] = find(i)
+            links[i] += 1
+            links[j] += 1
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(find(i), []).append(i)
     least = lambda g: min((rows[i].doc_id for i in g if rows[i].doc_id is not None), default=None)
-    return sorted(((r.doc_id, len(s), least(groups[find(i)])) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return sorted(((r.doc_id, len(s), least(groups[find(i)]), links[i]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
 @pytest.mark.parametrize("make", [corpus, hostile])
 def test_join_is_brute_force(spark, make):
     df = make(spark)
-    got = ngram_join.Join(df).documents().select("doc_id", "n_shingles", "component_id").collect()
+    got = ngram_join.Join(df).with_links().select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(df.collect())
 
 
+def test_links_are_counted_alike_in_chunks_of_any_size(spark, monkeypatch):
+    df = corpus(spark, 200, seed=5)
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 2)
+    monkeypatch.setattr(ngram_join, "_FRAGMENT", 7)
+    got = ngram_join.Join(df).with_links().select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(df.collect())
+    assert ngram_join.Join(df.limit(0)).with_links().count() == 0
+
+
 def test_join_all_links(spark):
     df = corpus(spark)
     join = ngram_join.Join(df, all_links=True)
@@ -102,7 +113,7 @@ def test_join_keeps_one_of_each(spark):
     df = corpus(spark).unionByName(hostile(spark).withColumn("doc_id", F.col("doc_id") + 1000))
     kept = ngram_join.one_of_each(df).collect()
     rows = df.collect()
-    groups = {c for d, n, c in brute_components(rows) if n}
+    groups = {c for d, n, c, _ in brute_components(rows) if n}
     assert sum(bool(shingles(r.text)) for r in kept) == len(groups) and sum(not shingles(r.text) for r in kept) == sum(not shingles(r.text) for r in rows)
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
@@ -112,7 +123,7 @@ def test_chains_across_stars_are_found(spark):
     base = [f"w{i}" for i in range(104)]
     rows = [(100 - k, " ".join(base[:-1] + ["x"] if k == 9 else [f"c{k}_{i}" if i < 4 * k and i % 4 == 0 and False else w for i, w in enumerate(base[2 * k :] + [f"n{j}" for j in range(2 * k)])]), "en", "s", 0) for k in range(12)]
     df = spark.createDataFrame(rows, DOCS)
-    got = ngram_join.Join(df).documents().select("doc_id", "n_shingles", "component_id").collect()
+    got = ngram_join.Join(df).with_links().select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(df.collect())
 
 
