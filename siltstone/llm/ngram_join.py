@@ -470,15 +470,18 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     docs = durable(Join(df, key, text, size, **options).documents("_key"))
     chosen = docs.where(F.col("_key").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
     chosen = chosen.groupBy("component").agg(F.min(F.struct("_key", "cls")).alias("it")).select("it._key", F.col("it.cls").alias("_cls"))
-    shared_ids = docs.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key")
+    shared_ids = durable(docs.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key"))
     # The row travels as one struct, so that none of its columns can clash with those added here.
-    boxed = df.select(F.struct("*").alias("_row")).select("_row", F.col(f"_row.{key}").alias("_id"), F.col(f"_row.{text}").alias("_text"))
-    same = F.col("_id").eqNullSafe(F.col("_key"))
-    wordless = ~F.coalesce("_text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = boxed.where(~wordless)
-    single = worded.join(chosen.join(shared_ids.withColumnRenamed("_key", "_other"), F.col("_key").eqNullSafe(F.col("_other")), "left_anti"), same, "left_semi")
-    # Where several rows share an id, the row is known by its own set.
-    named = with_class(worded.join(shared_ids, same, "left_semi"), "_text", size, "_cls")
-    picked = chosen.select("_key", F.col("_cls").alias("_chosen"))
-    several = named.join(picked, same & (F.col("_cls") == F.col("_chosen")), "left_semi").dropDuplicates(["_id", "_cls"]).drop("_cls")
-    return boxed.where(wordless).unionByName(single).unionByName(several).select("_row.*")
+    boxed = df.select(F.struct("*").alias("_row"))
+    same = F.col(f"_row.{key}").eqNullSafe(F.col("_key"))
+    wordless = boxed.where(~F.coalesce(f"_row.{text}", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    # An id of one row alone is chosen only if that row has words.
+    single = boxed.join(chosen.join(shared_ids.withColumnRenamed("_key", "_other"), F.col("_key").eqNullSafe(F.col("_other")), "left_anti"), same, "left_semi")
+    found = wordless.unionByName(single)
+    if shared_ids.limit(1).count():
+        # Where several rows share an id, the row is known by its own set. A join with no such id would move all texts for nothing.
+        named = with_class(boxed.join(shared_ids, same, "left_semi").withColumn("_text", F.col(f"_row.{text}")), "_text", size, "_cls")
+        picked = chosen.select("_key", F.col("_cls").alias("_chosen"))
+        named = named.withColumn("_id", F.col(f"_row.{key}")).join(picked, same & (F.col("_cls") == F.col("_chosen")), "left_semi")
+        found = found.unionByName(named.dropDuplicates(["_id", "_cls"]).select("_row"))
+    return found.select("_row.*")

@@ -115,6 +115,9 @@ def test_join_keeps_one_of_each(spark):
     rows = df.collect()
     groups = {c for d, n, c, _ in brute_components(rows) if n}
     assert sum(bool(shingles(r.text)) for r in kept) == len(groups) and sum(not shingles(r.text) for r in kept) == sum(not shingles(r.text) for r in rows)
+    wide = ngram_join.one_of_each(df.withColumns({c: F.lit("?") for c in CLASHES})).collect()
+    what = lambda found: sorted(str((r.doc_id, sorted(shingles(r.text)))) for r in found)
+    assert what(wide) == what(kept)
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
