@@ -43,9 +43,14 @@ def durable(df: DataFrame, *by: str, partitions: int | None = None) -> DataFrame
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches bounded in bytes."""
+    """mapInArrow with batches bounded in bytes. Workers are used again by later tasks, so each task gives its memory back."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back_memory()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(work, schema)
 
 
 def crc_of_id(id_col: str) -> Column:
