@@ -372,6 +372,23 @@ def test_quality_rules(spark):
     assert repetition.score(hostile(spark)).count() == 11 and repetition.score(df.limit(0)).count() == 0
 
 
+def with_passage(n_words, size, times):
+    """A text of `n_words` words, all different but for a passage of `size` words that it holds `times` times, apart."""
+    passage, others = [f"p{i}" for i in range(size)], [f"w{i}" for i in range(n_words - size * times)]
+    step = len(others) // times
+    return " ".join(itertools.chain(*[passage + others[k * step : (k + 1) * step if k < times - 1 else None] for k in range(times)]))
+
+
+def test_suffix_array_rules_bind_on_their_own(spark):
+    # Covered fraction alone; longest repeat alone; both at their limits; the passage of 300 words in 2,000.
+    made = [(200, 10, 4), (1000, 51, 2), (1000, 50, 2), (100, 7, 2), (2000, 300, 3)]
+    df = spark.createDataFrame([(i, with_passage(*m), None, None, None) for i, m in enumerate(made)], DOCS)
+    got = sorted(repetition.score(df).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.longest_repeat, r.covered_words) for r in got] == [(n, size, size * times) for n, size, times in made]
+    assert not any(r.base_failed for r in got) and [r.kept for r in got] == [False, False, True, True, False]
+    assert got[0].longest_repeat <= repetition.MAX_LONGEST and got[1].covered_words <= repetition.MAX_COVERED * got[1].n_words
+
+
 def labelled(spark, n=400):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(2, 7)))
