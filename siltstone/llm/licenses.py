@@ -214,6 +214,14 @@ def longest_literal(body: str) -> str:
     return max((p.strip() for p in parts), key=len)
 
 
+def alternatives(body: str) -> list[str]:
+    """The pattern; if its matches hold no text in common, one pattern for each alternative of the group it begins with."""
+    if longest_literal(body):
+        return [body]
+    first, rest = re.fullmatch(r"\(\?:([^()]*)\)(?!\?)(.*)", body).groups()
+    return [part + rest for part in first.split("|")]
+
+
 @functools.cache
 def rules() -> tuple[Rule, ...]:
     """All rules, in order. Several come from each line above: an SPDX tag, a licensing sentence, a title."""
@@ -223,7 +231,7 @@ def rules() -> tuple[Rule, ...]:
         out.append(_rule(label, rf"spdx license identifier (?:{spdx})", TAG, "spdx license identifier"))
         out.append(_rule(label, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:{title}|(?:{spdx}) licen[cs]e)", TITLE, "under"))
         out.append(_rule(label, rf"licen[cs]ed? (?:under )?(?:the )?(?:{spdx})", TITLE, "licen"))
-        out.append(_rule(label, title, MENTION, longest_literal(title) or "licen"))
+        out += [_rule(label, body, MENTION) for body in alternatives(title)]
     out += [_rule(label, body, ADDRESS) for label, body in rows(ADDRESSES)]
     out += [_rule(label, body, NOTICE, keyword) for label, keyword, body in rows(NOTICES)]
     return tuple(out)

@@ -249,6 +249,43 @@ def test_license_keywords_are_necessary():
         assert rule.keyword and (everywhere or rule.keyword in ("under", "licen")), rule
 
 
+def some_match(parsed, rng):
+    """A text that the parsed regular expression matches, without its look-arounds."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                out += chr(rng.choice(arg)[1])
+            case "ANY":
+                out += "x"
+            case "MAX_REPEAT":
+                out += "".join(some_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 3))))
+            case "BRANCH":
+                out += some_match(rng.choice(arg[1]), rng)
+            case "SUBPATTERN":
+                out += some_match(arg[-1], rng)
+            case kind:
+                assert kind == "ASSERT", kind
+    return out
+
+
+def test_license_prefilter_loses_nothing():
+    for text in ("Creative Commons Zero v1.0 Universal", "CC0 1.0", "cc0"):
+        words = f" {b' '.join(licenses.words_of(text)).decode()} "
+        assert (got := licenses.scan_words(words))["labels"] == "cc0-1.0" and got["score"] == licenses.MENTION[1], text
+    rng = random.Random(6)
+    for rule in licenses.rules():
+        for _ in range(12):
+            words = f" {some_match(re._parser.parse(rule.pattern.pattern), rng)} "
+            whole = next((m.span() for m in rule.pattern.finditer(words)), None)
+            # Words with signs that words never have match nothing.
+            assert whole or re.search(r"[^a-z0-9 ]", words), (rule, words)
+            if whole:
+                assert any(a <= whole[0] and whole[1] <= b for a, b, *_ in licenses.places(words)), (rule, words)
+
+
 @pytest.mark.parametrize("make", [corpus, hostile])
 def test_packing(spark, make):
     df = make(spark)
