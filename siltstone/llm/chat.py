@@ -89,7 +89,7 @@ def fold(events: DataFrame) -> DataFrame:
             F.struct(
                 F.element_at("log", 1)["at"].alias("at"),
                 "message",
-                F.element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != ""), -1).alias("role"),
+                F.try_element_at(F.filter(F.transform("log", lambda e: e["role"]), lambda r: r != ""), F.lit(-1)).alias("role"),
                 F.array_join(F.transform("live", lambda e: F.when(e["kind"].isin("delete", "regenerate"), "").otherwise(e["text"])), "").alias("text"),
             ).alias("m"),
         )

@@ -169,6 +169,13 @@ def test_chat_events_fold(spark):
     assert chat.format_events(df.limit(0)).count() == 0
 
 
+def test_chat_message_without_a_role(spark):
+    events = [(1, 0, "delta", "m", None, "a"), (1, 1, "delta", "m", "", "b"), (1, 2, "delta", "n", "user", "c")]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, message string, role string, text string")
+    (got,) = chat.parse(chat.format_events(df)).collect()
+    assert [tuple(m) for m in got.messages] == [("", "ab"), ("user", "c")]
+
+
 def test_chat_round_trip_of_odd_texts(spark):
     parts = ["<|im_end|>", "<|", "\\", "<", "|", "\n", "<\\|", "%0A", "\U0001f600", ""]
     turns = [(i, t, r, a + b + c) for i, (a, b, c) in enumerate(itertools.product(parts, repeat=3)) for t, r in enumerate(["us%0A\ner<|", "assistant"])]
