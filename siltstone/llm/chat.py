@@ -15,7 +15,8 @@ spans of code points over the formatted string, one per assistant message.
 
 Defined results: null text or role is empty; a null conversation id is a conversation of its own; equal
 sequence numbers are ordered by message, role and text, null sequence last; repeated rows are repeated
-messages; a conversation whose messages are all deleted formats to the empty string; no rows give no rows.
+messages; events of a null or unknown kind are ignored, and so are `regenerate` and `delete` with a null message,
+which address none; a conversation whose messages are all deleted formats to the empty string; no rows give no rows.
 One conversation is one value of the result, so its final messages meet in one row; its events are first
 folded per message.
 """
@@ -64,17 +65,19 @@ def turns_as_events(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
 def fold(events: DataFrame) -> DataFrame:
     """Events to conv_id, messages: an array of (role, text) in order.
 
-    A null `message` marks a finished message of its own, which needs no folding. All groupings follow one
-    exchange by conversation: the finer grouping by message uses the same partitioning.
+    An event with a null `message` is the only one of a message of its own: `own` tells it from others, and has no
+    say in the order. One exchange by conversation serves both groupings.
     """
-    clean = events.select("conv_id", "seq", F.lower("kind").alias("kind"), "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rank = F.struct(F.col("seq").isNull().alias("late"), F.col("seq").alias("seq"))
-    single = clean.where(F.col("message").isNull() & F.col("kind").isin("message", "edit", "delta")).select(
-        "conv_id", F.struct(rank.alias("at"), F.lit(None).cast("string").alias("message"), "role", "text").alias("m")
+    clean = (
+        events.select("conv_id", "seq", F.lower("kind").alias("kind"), "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        .where(F.col("kind").isin("delta", *_RESETS) & (F.col("message").isNotNull() | F.col("kind").isin("message", "edit", "delta")))
+        .withColumn("own", F.when(F.col("message").isNull(), F.monotonically_increasing_id()))
+        .repartition("conv_id")
     )
+    rank = F.struct(F.col("seq").isNull().alias("late"), F.col("seq").alias("seq"))
     # Order among a message's events: sequence, then resets before deltas, then text.
     event = F.struct(rank.alias("at"), F.when(F.col("kind") == "delta", 1).otherwise(0).alias("delta"), "kind", "role", "text")
-    grouped = clean.where(F.col("message").isNotNull()).groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    grouped = clean.groupBy("conv_id", "message", "own").agg(F.array_sort(F.collect_list(event)).alias("log"))
     last = F.aggregate(
         F.sequence(F.lit(1), F.size("log")), F.lit(1), lambda at, i: F.when(F.element_at("log", i)["kind"].isin(*_RESETS), i).otherwise(at)
     )
@@ -83,9 +86,9 @@ def fold(events: DataFrame) -> DataFrame:
     folded = (
         grouped.withColumn("last", last)
         .withColumn("live", live)
-        .where((F.element_at("live", 1)["kind"] != "delete") | (F.size("live") > 1))
         .select(
             "conv_id",
+            ((F.element_at("live", 1)["kind"] != "delete") | (F.size("live") > 1)).alias("kept"),
             F.struct(
                 F.element_at("log", 1)["at"].alias("at"),
                 "message",
@@ -95,9 +98,8 @@ def fold(events: DataFrame) -> DataFrame:
         )
         .withColumn("m", F.struct(F.col("m.at").alias("at"), F.col("m.message").alias("message"), F.coalesce("m.role", F.lit("")).alias("role"), F.col("m.text").alias("text")))
     )
-    ordered = F.array_sort(F.collect_list("m"))
-    messages = single.unionByName(folded).groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
-    return messages
+    ordered = F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("m"))))
+    return folded.groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def render(folded: DataFrame, trained_role: str = "assistant") -> DataFrame:

@@ -176,6 +176,25 @@ def test_chat_message_without_a_role(spark):
     assert [tuple(m) for m in got.messages] == [("", "ab"), ("user", "c")]
 
 
+def test_chat_events_of_all_kinds_pass_the_fold(spark):
+    events = [
+        (1, 0, "message", "m", "user", "a"),
+        (1, 1, None, "m", "user", "x"),
+        (1, 2, "typing", "m", "user", "y"),
+        (1, 3, "Delta", "m", "user", "b"),
+        *[(1, 4, kind, None, "assistant", "c") for kind in ("message", "message", "delta", "edit", "regenerate", "delete", "typing", None)],
+        (2, 0, "message", "m", "user", "gone"),
+        (2, 1, "delete", "m", None, None),
+    ]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, message string, role string, text string")
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat.fold(df).collect()}
+    assert got == {1: [("user", "ab"), *[("assistant", "c")] * 4], 2: []}
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
+    folded = chat.fold(chat.turns_as_events(turns))
+    assert "element_at(log" in folded._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(m) for m in folded.first().messages] == [("user", "a"), ("user", "b"), ("user", "b"), ("", "")]
+
+
 def test_chat_round_trip_of_odd_texts(spark):
     parts = ["<|im_end|>", "<|", "\\", "<", "|", "\n", "<\\|", "%0A", "\U0001f600", ""]
     turns = [(i, t, r, a + b + c) for i, (a, b, c) in enumerate(itertools.product(parts, repeat=3)) for t, r in enumerate(["us%0A\ner<|", "assistant"])]
