@@ -9,9 +9,10 @@ non-negative unbiased risk
 
 and scores every document. Labels of 0 are never used in fitting.
 
-The fit uses at most `max_positive` labelled and `max_unlabelled` unlabelled rows, chosen by a hash of the id; only
-their statistics reach the driver (some 30 numbers a row). Scoring reads every text whole, in one pass, without a
-shuffle. Fits of the same tables agree bit for bit.
+The gradient steps use at most `max_positive` labelled and `max_unlabelled` unlabelled rows, chosen by a hash of the
+id; only their statistics reach the driver (some 30 numbers a row). The prior is that of all unlabelled rows outside
+the held-out fold: the first fit scores them, and 97 counts reach the driver. Scoring reads every text whole, in one
+pass, without a shuffle. Fits of the same tables agree bit for bit.
 
 Defined results: null and empty texts are scored by their statistics, all zero; a null id counts as empty text
 when folds are chosen; repeated rows get equal scores; several labels of one id count as positive when their mean
@@ -21,7 +22,7 @@ is at least 0.5; with no positives every score is 0.5 (kept); an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,11 +125,20 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.0
     Only tails with at least `least` of the positives count; each ratio gets two standard errors on top, so that
     the minimum isn't one of noise.
     """
-    p, u = np.sort(positive), np.sort(unlabelled)
-    cuts = np.quantile(p, np.linspace(0, 1 - least, 96))
+    cuts = prior_cuts(positive, least)
+    return prior_of_counts(positive, cuts, np.bincount(np.searchsorted(cuts, unlabelled, side="right"), minlength=len(cuts) + 1))
+
+
+def prior_cuts(positive: np.ndarray, least: float = 0.05) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0, 1 - least, 96))
+
+
+def prior_of_counts(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray) -> float:
+    """class_prior, from how many unlabelled scores lie at or above 0, 1, 2, ... of the cuts and no more."""
+    p, n = np.sort(positive), counts.sum()
     above_p = 1 - np.searchsorted(p, cuts) / len(p)
-    above_u = 1 - np.searchsorted(u, cuts) / len(u)
-    error = above_u / above_p * np.sqrt(1 / (len(p) * above_p) + 1 / np.maximum(len(u) * above_u, 1))
+    above_u = 1 - np.cumsum(counts)[:-1] / n
+    error = above_u / above_p * np.sqrt(1 / (len(p) * above_p) + 1 / np.maximum(n * above_u, 1))
     return float(np.clip((above_u / above_p + 2 * error).min() - 2 * error.min(), 0.02, 0.98))
 
 
@@ -167,7 +177,8 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int = 24,
     return weights
 
 
-def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, count: Callable[[Callable, np.ndarray], np.ndarray]) -> Model:
+    """`count` gives the counts of prior_of_counts over all unlabelled rows, from what scores features and the cuts."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     if not len(positive) or not len(unlabelled):
         k = N_FEATURES
@@ -176,7 +187,9 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     w = _train(p, u, None, epochs=15)
     logits = lambda x: np.tanh(x @ w[0] + w[1]) @ w[2] + w[3]
-    prior = class_prior(logits(p), logits(u))
+    positive_scores = logits(p)
+    cuts = prior_cuts(positive_scores)
+    prior = prior_of_counts(positive_scores, cuts, count(lambda x: logits(np.clip((x - mean) / scale, -8, 8)), cuts))
     w = _train(p, u, prior)
     return Model(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior)
 
@@ -203,6 +216,23 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)[np.argsort(table["h"].to_numpy(), kind="stable")].astype(np.float64)
 
 
+def count_scores(documents: DataFrame, logits: Callable[[np.ndarray], np.ndarray], cuts: np.ndarray, text: str = "text") -> np.ndarray:
+    """How many documents score at or above 0, 1, 2, ... of the cuts and no more; each task gives one row a count."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            for _, _, buf, bounds in K.slices(batch.column(0)):
+                counts += np.bincount(np.searchsorted(cuts, logits(features(buf, bounds)), side="right"), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts)), pa.int64()), pa.array(counts, pa.int64())], names=["cut", "n"])
+
+    found = arrow_map(documents.select(text), work, fields("cut long, n long")).groupBy("cut").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(cuts) + 1, dtype=np.int64)
+    for r in found:
+        counts[r.cut] = r.n
+    return counts
+
+
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learns from labelled rows outside the held-out fold, at most as many as the bounds say."""
     docs = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
@@ -213,7 +243,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # A limit on ids, then their texts: no sort carries texts.
     some = docs.where(~held_out("k")).select("k", md5_int(F.lit("unlabelled"), F.col("k")).alias("h")).orderBy("h", "k").limit(max_unlabelled)
     unlabelled = docs.join(F.broadcast(some.dropDuplicates(["k"])), "k")
-    model = fit_arrays(*[_matrix(_described(rows, "h")) for rows in (positive, unlabelled)])
+    everyone = docs.where(~held_out("k"))
+    model = fit_arrays(*[_matrix(_described(rows, "h")) for rows in (positive, unlabelled)], lambda logits, cuts: count_scores(everyone, logits, cuts))
     give_back_memory()
     return model
 

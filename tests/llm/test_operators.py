@@ -526,6 +526,14 @@ def test_class_prior():
     assert abs(quality.class_prior(positive, unlabelled) - 0.7) < 0.06
 
 
+def test_class_prior_is_that_of_all_unlabelled_rows(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    seen, whole = [], quality.prior_of_counts
+    monkeypatch.setattr(quality, "prior_of_counts", lambda p, cuts, counts: seen.append(counts.sum()) or whole(p, cuts, counts))
+    quality.fit(docs, labels, max_unlabelled=50)
+    assert seen == [docs.where(~quality.held_out("doc_id")).count()] and seen[0] > 50
+
+
 def test_slot_maps(spark, tmp_path):
     for n in (1, 2, 5, 16, 17):
         held = np.bincount(sharding.SlotMap.build(n).owners, minlength=n)
