@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,24 +24,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, one of our own only where it is unset."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where it is unset, one of our own in the warehouse, if the whole session runs on this machine or the warehouse is
+    no local folder; on a cluster a local one would hold each executor's files apart, so it is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        if not one_machine and re.match(r"(file:|/|[^:]*$)", warehouse):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = warehouse.rstrip("/") + "/_checkpoints"
     return folder.rstrip("/")
 
 
+#: The open scopes of `scratch`, the innermost last; each lists the paths written within it.
+_scopes = threading.local()
+
+
 def durable(df: DataFrame, *by: str, partitions: int | None = None) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again: lineage ends here, and lost executors lose nothing.
 
-    The files live as long as the shared folder's own cleaning allows, like those of checkpoint().
+    The files live until the innermost open `scratch` ends, without one as long as the shared folder's own cleaning
+    allows, like those of checkpoint().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     if partitions:
         df = df.repartition(partitions, *by) if by else df.repartition(partitions)
+    open_scopes = getattr(_scopes, "open", [])
+    if open_scopes:
+        open_scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _at(df: DataFrame, path: str | None) -> DataFrame:
+    df._siltstone_path = path
+    return df
+
+
+def like_stored(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """`df`, a view of the table `stored`, to be kept with it."""
+    return _at(df, getattr(stored, "_siltstone_path", None))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that `durable` wrote within it, all but those handed to what it yields.
+
+    What leaves the block may read kept tables alone. Kept tables pass to the scope around, if there is one.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    written: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        if path := getattr(df, "_siltstone_path", None):
+            kept.add(path)
+        return df
+
+    _scopes.open.append(written)
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.open.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in written:
+            if path not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+            elif _scopes.open:
+                _scopes.open[-1].append(path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:

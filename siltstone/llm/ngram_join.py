@@ -5,9 +5,10 @@ Two documents link when 100 * |A & B| >= percent * |A | B|. The global order of
 each set is cut into segments along them, overlaps are counted fragment by fragment and summed per pair.
 
 1. Documents with equal sets form classes; all later work is on classes.
-2. Shared n-grams: every set's segments go to their fragments, in blocks of many documents per row. A fragment
-   counts how many classes hold each of its n-grams and returns, per segment, how many are shared. The sums per
-   document prove most documents to be unlike all others: a link needs `percent` of a set to be shared.
+2. Shared n-grams: sets meet in blocks of about a million n-grams, and each n-gram of a block goes to its fragment
+   once, with its set's place in the block. A fragment finds which n-grams several blocks hold and returns counts by
+   block and place. The sums per document prove most documents to be unlike all others: a link needs `percent` of a
+   set to be shared. What remains, copies among it, is counted once more, now with one set of each class.
 3. Candidates among the rest, by the rarest n-grams of each set: two sets that link share one within their
    first n - ceil(percent * n) + 1, in the order of document frequency, then hash.
 4. Verification of candidates by partial overlaps per fragment, summed per pair.
@@ -33,7 +34,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,18 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .components import connected_components
-from .frames import arrow_map, arrow_schema, durable, fields
+from .frames import arrow_map, arrow_schema, durable, fields, scratch
 
 SIZE, PERCENT = 5, 80
-#: N-grams that a fragment of step 2 holds on average at most, and that a block of documents holds at least.
+#: N-grams that a fragment of step 2 holds on average at most, and that a block of documents holds at least. A row per
+#: block and fragment is no burden while fragments are far fewer than a block's n-grams, that is up to 10**11 or so
+#: n-grams; beyond, both numbers should grow with the root of the input.
 FRAGMENT_GRAMS, BLOCK_GRAMS = 4_000_000, 1_000_000
 MIN_FRAGMENTS = 16
 #: Fragments of the order in step 4, as a power of two.
 SEGMENT_BITS = 3
 #: Rows of one side of a block in the comparison across components.
-BLOCK = 2048
+BLOCK = 1024
 #: Classes and n-grams that a chunk of a component holds on average at most when links are counted.
 CHUNK_CLASSES, CHUNK_GRAMS = 512, 1_000_000
 #: N-grams of one fragment of such a block.
@@ -92,8 +95,13 @@ def named_sets(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 # Step 2
 
 
-_PIECES = fields("fragment long, block long, names binary, sizes binary, owners binary, lengths binary, grams binary")
-_COUNTS = fields("block long, fragment long, names binary, sizes binary, shared binary")
+_PIECES = fields("fragment long, block long, names binary, sizes binary, local binary, places binary, grams binary")
+_COUNTS = fields("block long, fragment long, names binary, sizes binary, local binary, places binary, shared binary")
+#: Sets of one block at most: places in a block are 16-bit numbers, of which the last means several sets.
+BLOCK_SETS, _SEVERAL = 1 << 15, 0xFFFF
+
+#: (digests of the sets, None where empty; their n-grams end to end; their bounds among these)
+Sets = Iterator[tuple[list[bytes | None], np.ndarray, np.ndarray]]
 
 
 def fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
@@ -101,96 +109,110 @@ def fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
 
 
-def _pieces(df: DataFrame, text: str, size: int, fragments: int) -> DataFrame:
-    """One row per block of documents and fragment: the segments of all its documents there.
+def blocks_of(sets: Sets) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(names, sizes, n-grams) of blocks of distinct sets, of at least BLOCK_GRAMS n-grams but for the last or fullest."""
+    held: dict[bytes, int] = {}
+    parts: list[np.ndarray] = []
+    for digests, grams, at in sets:
+        for lo in range(0, len(digests), BLOCK_SETS):
+            sizes = np.diff(at[lo : lo + BLOCK_SETS + 1])
+            fresh = np.array([d is not None and d not in held and held.setdefault(d, int(n)) > 0 for d, n in zip(digests[lo : lo + BLOCK_SETS], sizes, strict=True)])
+            parts.append(grams[at[lo] : at[lo] + sizes.sum()][np.repeat(fresh, sizes)])
+            if len(held) >= BLOCK_SETS or sum(map(len, parts)) >= BLOCK_GRAMS:
+                yield list(held), np.fromiter(held.values(), np.int64), np.concatenate(parts)
+                held, parts = {}, []
+    if held:
+        yield list(held), np.fromiter(held.values(), np.int64), np.concatenate(parts)
+
+
+def split_block(sizes: np.ndarray, grams: np.ndarray, fragments: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Per set, how many of its n-grams another set of the block holds; (fragment, places, 32 bits of hashes).
+
+    Each distinct n-gram of the block goes out once, with the place of the one set that holds it, or _SEVERAL. So
+    what goes out is six bytes an n-gram, however many fragments there are, and an n-gram of very many sets is one
+    entry a block.
+    """
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(grams)
+    grams, place = grams[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    held = np.diff(np.append(first, len(grams)))
+    local = np.bincount(place[np.repeat(held > 1, held)], minlength=len(sizes))
+    place, grams = np.where(held > 1, _SEVERAL, place[first]).astype(np.uint16), grams[first]
+    cuts = np.flatnonzero(np.diff(fragment_of(grams, fragments), prepend=np.uint64(fragments))).tolist() + [len(grams)]
+    numbers = fragment_of(grams[cuts[:-1]], fragments).tolist()
+    return local, [(f, place[a:b], grams[a:b].astype(np.uint32)) for f, a, b in zip(numbers, cuts[:-1], cuts[1:], strict=True)]
+
+
+def _pieces(df: DataFrame, read: Callable[[pa.RecordBatch], Sets], fragments: int) -> DataFrame:
+    """One row per block and fragment with n-grams of that block; one of a block's rows, its head, names the block's sets.
 
     Within a fragment 32 bits of each hash are enough: a collision makes an n-gram look shared, never unshared.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = arrow_schema(_PIECES)
-        part, block = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            grams = np.concatenate([h[0] for h in held])
-            sizes = np.concatenate([h[1] for h in held])
-            names = [n for h in held for n in h[2]]
-            short = np.frombuffer(b"".join(n[:8] for n in names), np.uint64)
-            where = fragment_of(grams, fragments)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(where, kind="stable")
-            where, row, low = where[order], row[order], grams[order].astype(np.uint32)
-            cuts = np.searchsorted(where, np.arange(fragments + 1, dtype=np.uint64))
-            rows = []
-            for f in range(fragments):
-                a, b = cuts[f], cuts[f + 1]
-                if b > a or not f:
-                    head = (b"".join(names), sizes.astype(np.uint32).tobytes()) if not f else (None, None)
-                    rows.append((f, part << 32 | block, *head, short.tobytes(), np.bincount(row[a:b], minlength=len(sizes)).astype(np.uint32).tobytes(), low[a:b].tobytes()))
-            for lo in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 64], strict=True), arrow, strict=True)], schema=arrow)
-
-        count = 0
-        for batch in batches:
-            for _, _, grams, at in sets_of_rows(batch.column(0), size):
-                sizes = np.diff(at)
-                names = [n for n in _digests(grams, at) if n]
-                if names:
-                    held.append((grams, sizes[sizes > 0], names))
-                    count += len(grams)
-                if count >= BLOCK_GRAMS:
-                    yield from flush()
-                    held, count, block = [], 0, block + 1
-        if held:
-            yield from flush()
-
-    return arrow_map(df.select(text), work, _PIECES)
-
-
-def count_shared(owners: np.ndarray, lengths: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """For each segment, how many of its n-grams another class has, too. Segments of equal sets count as one."""
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    sums = np.zeros(len(grams) + 1, dtype=np.uint64)
-    np.cumsum(grams, out=sums[1:])
-    # A segment's content goes into its name, so unlike sets never pass for one another.
-    _, first = np.unique(K.mix(owners ^ K.mix(sums[bounds[1:]] - sums[bounds[:-1]])), return_index=True)
-    original = np.zeros(len(lengths), dtype=bool)
-    original[first] = True
-    ranked = np.sort(grams[np.repeat(original, lengths)])
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    at = np.minimum(np.searchsorted(twice, grams), max(len(twice) - 1, 0))
-    is_shared = twice[at] == grams if len(twice) else np.zeros(len(grams), dtype=bool)
-    return np.diff(np.concatenate([[0], np.cumsum(is_shared)])[bounds])
+        part = TaskContext.get().partitionId()
+        for block, (names, sizes, grams) in enumerate(blocks_of(s for batch in batches for s in read(batch))):
+            local, split = split_block(sizes, grams, fragments)
+            head = (b"".join(names), sizes.astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes())
+            rows = [(f, part << 32 | block, *(head if not i else (None,) * 3), places.tobytes(), low.tobytes()) for i, (f, places, low) in enumerate(split)]
+            for lo in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 256], strict=True), arrow, strict=True)], schema=arrow)
+
+    return arrow_map(df, work, _PIECES)
+
+
+def held_by_others(places: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which entries of a fragment are of one set of their block and are found in another entry, too."""
+    order = np.argsort(grams)
+    ranked = grams[order]
+    same = ranked[1:] == ranked[:-1]
+    twice = np.zeros(len(grams), dtype=bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice & (places != _SEVERAL)
 
 
 def _shared_by_fragment(table: pa.Table) -> pa.Table:
-    rows = table.select(["owners", "lengths", "grams"]).to_pydict()
-    read = lambda column, kind: [np.frombuffer(x, kind) for x in rows[column]]
-    lengths = read("lengths", np.uint32)
-    shared = count_shared(np.concatenate(read("owners", np.uint64)), np.concatenate(lengths).astype(np.int64), np.concatenate(read("grams", np.uint32)))
-    parts = np.split(shared.astype(np.uint32), np.cumsum([len(x) for x in lengths])[:-1])
+    rows = table.select(["places", "grams"]).to_pydict()
+    places = [np.frombuffer(x, np.uint16) for x in rows["places"]]
+    shared = held_by_others(np.concatenate(places), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["grams"]]))
+    found = [np.unique(p[s], return_counts=True) for p, s in zip(places, np.split(shared, np.cumsum([len(p) for p in places])[:-1]), strict=True)]
     arrow = arrow_schema(_COUNTS)
-    return pa.Table.from_arrays([table["block"], table["fragment"], table["names"], table["sizes"], pa.array([p.tobytes() for p in parts], pa.binary())], schema=arrow)
+    counted = [pa.array([x[i].astype(kind).tobytes() for x in found], pa.binary()) for i, kind in enumerate((np.uint16, np.uint32))]
+    return pa.Table.from_arrays([*[table[c] for c in _COUNTS.fieldNames()[:5]], *counted], schema=arrow)
 
 
-def sharing_classes(df: DataFrame, text: str, size: int, percent: int, total: int) -> DataFrame:
-    """cls of every class whose n-grams are shared with other classes by `percent` or more."""
+def sharing_classes(df: DataFrame, read: Callable[[pa.RecordBatch], Sets], percent: int, total: int) -> DataFrame:
+    """cls of every set whose n-grams are held by `percent` or more by others: other sets of its block, or any set, its
+    own copies too, of other blocks. `total` is the number of n-grams."""
     fragments = max(MIN_FRAGMENTS, -(-total // FRAGMENT_GRAMS))
     out = fields("cls binary")
 
     def enough(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        head = rows["fragment"].index(0)
-        shared = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["shared"])
+        head = next(i for i, x in enumerate(rows["names"]) if x)
         names, sizes = rows["names"][head], np.frombuffer(rows["sizes"][head], np.uint32).astype(np.int64)
+        shared = np.frombuffer(rows["local"][head], np.uint32).astype(np.int64)
+        for places, counts in zip(rows["places"], rows["shared"], strict=True):
+            shared[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
         kept = np.flatnonzero(100 * shared >= percent * sizes).tolist()
         return pa.Table.from_arrays([pa.array([names[16 * i : 16 * i + 16] for i in kept], pa.binary())], schema=arrow_schema(out))
 
-    counts = _pieces(df, text, size, fragments).groupBy("fragment").applyInArrow(_shared_by_fragment, _COUNTS)
+    counts = _pieces(df, read, fragments).groupBy("fragment").applyInArrow(_shared_by_fragment, _COUNTS)
     return counts.groupBy("block").applyInArrow(enough, out).distinct()
 
 
+def _sets_of_texts(size: int) -> Callable[[pa.RecordBatch], Sets]:
+    return lambda batch: ((_digests(grams, at), grams, at) for _, _, grams, at in sets_of_rows(batch.column(0), size))
+
+
+def _sets_of_classes(batch: pa.RecordBatch) -> Sets:
+    grams = batch.column(1).flatten().flatten().to_numpy().view(np.uint64)
+    yield batch.column(0).to_pylist(), grams, np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())])
+
+
 # Steps 3 and 4
 
 
@@ -224,7 +246,8 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     but are in no list.
     """
     grams = sets.select("cls", "n", F.explode(F.flatten("segments")).alias("g"))
-    frequency = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # Stored, so that adaptive execution can split the join by an n-gram that very many sets hold.
+    frequency = durable(grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
     own = grams.join(frequency, "g").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared"), (F.sum("df") / F.first("n")).alias("common"))
     needed = F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - size(shared))").cast("int")
     return own.withColumn("prefix", F.slice("shared", F.lit(1), F.greatest(needed, F.lit(0)))).select("cls", "n", "common", F.explode("prefix.g").alias("g"))
@@ -246,7 +269,8 @@ def _near_size(n, m, percent: int):
 
 def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """Each member of a list with the member whose n-grams are the most common."""
-    hub = lists.groupBy("g").agg(F.max(F.struct("common", "cls", "n")).alias("hub"))
+    # Stored for the same reason as in `postings`.
+    hub = durable(lists.groupBy("g").agg(F.max(F.struct("common", "cls", "n")).alias("hub")))
     return (
         lists.join(hub, "g")
         .where((F.col("cls") != F.col("hub.cls")) & _near_size(F.col("n"), F.col("hub.n"), percent))
@@ -319,12 +343,12 @@ def cross_pairs(lists: DataFrame, sets: DataFrame, labels: DataFrame | None, per
         labelled = lists.withColumn("comp", F.col("cls"))
     else:
         labelled = lists.join(labels.select(F.col("node").alias("cls"), F.col("component")), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    lead = labelled.groupBy("g").agg(F.max(F.struct("common", "cls", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    mixed = labelled.join(lead.select("g", F.col("lead.comp").alias("lead"), "m"), "g")
-    outside = mixed.where("comp != lead").groupBy("g").agg(F.count("*").alias("o"))
+    by_comp = labelled.groupBy("g", "comp").agg(F.max(F.struct("common", "cls")).alias("top"), F.count("*").alias("rows"))
+    led = by_comp.groupBy("g").agg(F.max(F.struct("top", "comp", "rows")).alias("lead"), F.sum("rows").alias("m"))
+    # m members in all, o of them outside the leading member's component. Stored for the same reason as in `postings`.
+    mixed = labelled.join(durable(led.select("g", F.col("lead.comp").alias("lead"), "m", (F.col("m") - F.col("lead.rows")).alias("o")).where("o > 0")), "g")
     chunks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     deal = lambda c: F.pmod(F.xxhash64("cls"), chunks(c)).cast("int")
-    mixed = mixed.join(outside, "g")
     everyone = mixed.select("g", deal("m").alias("i"), F.explode(F.sequence(F.lit(0), chunks("o") - 1)).alias("j"), F.lit(1).alias("side"), "cls", "comp", "n")
     others = mixed.where("comp != lead").select("g", F.explode(F.sequence(F.lit(0), chunks("m") - 1)).alias("i"), deal("o").alias("j"), F.lit(0).alias("side"), "cls", "comp", "n")
     rows = everyone.unionByName(others).join(sets.select("cls", "bitmap"), "cls").select(*_SIDES.fieldNames())
@@ -411,24 +435,31 @@ class Join:
         # No other column of `df` goes any further, whatever its name.
         df, key, text = df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"
         self.percent = percent
-        self.members = durable(named_sets(df, key, text, size))
-        self.classes = durable(self.members.where("cls is not null").groupBy("cls", "n").agg(F.min("key").alias("first_key"), F.count("*").alias("copies")))
-        total = self.members.agg(F.sum("n")).first()[0] or 0
-        sharing = durable(sharing_classes(df, text, size, percent, total))
-        first = self.classes.join(sharing, "cls").select(F.col("first_key").alias("_first_key")).distinct()
+        with scratch(df.sparkSession) as keep:
+            self.members = keep(durable(named_sets(df, key, text, size)))
+            self.classes = keep(durable(self.members.where("cls is not null").groupBy("cls", "n").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))))
+            self.sets = keep(durable(self._sharing_sets(df, key, text, size)))
+            lists = durable(postings(self.sets, percent))
+            if all_links:
+                self.links = keep(durable(verified(cross_pairs(lists, self.sets, None, percent), self.sets, percent)))
+                self.labels = keep(connected_components(self.links))
+                return
+            star = keep(durable(verified(star_pairs(lists, percent), self.sets, percent)))
+            known = connected_components(star)
+            across = keep(durable(verified(cross_pairs(lists, self.sets, known, percent), self.sets, percent)))
+            self.links = star.unionByName(across)
+            self.labels = keep(connected_components(self.links) if across.limit(1).count() else known)
+
+    def _sharing_sets(self, df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+        """cls, n, segments, bitmap of the classes that may link."""
+        total = lambda rows: rows.agg(F.sum("n")).first()[0] or 0
+        copied = durable(sharing_classes(df.select(text), _sets_of_texts(size), self.percent, total(self.members)))
+        first = self.classes.join(copied, "cls").select(F.col("first_key").alias("_first_key")).distinct()
         texts = df.join(first, F.col(key).eqNullSafe(F.col("_first_key")), "left_semi")
         # Other texts under the same id aren't asked for; repeated ones count once.
-        self.sets = durable(_segmented(texts, text, size).join(sharing, "cls", "left_semi").dropDuplicates(["cls"]))
-        lists = durable(postings(self.sets, percent))
-        if all_links:
-            self.links = durable(verified(cross_pairs(lists, self.sets, None, percent), self.sets, percent))
-            self.labels = connected_components(self.links)
-            return
-        star = durable(verified(star_pairs(lists, percent), self.sets, percent))
-        known = connected_components(star)
-        across = durable(verified(cross_pairs(lists, self.sets, known, percent), self.sets, percent))
-        self.links = star.unionByName(across)
-        self.labels = connected_components(self.links) if across.limit(1).count() else known
+        sets = durable(_segmented(texts, text, size).join(copied, "cls", "left_semi").dropDuplicates(["cls"]))
+        sharing = durable(sharing_classes(sets.select("cls", "segments", "n"), _sets_of_classes, self.percent, total(sets)))
+        return sets.join(sharing, "cls", "left_semi")
 
     def documents(self, key: str = "doc_id") -> DataFrame:
         """key, n_shingles, component_id, copies (rows with an equal set), cls, component: one row per document."""

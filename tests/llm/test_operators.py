@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import chat, components, licenses, media, mixing, ngram_join, packing, quality, repetition, sharding, textkit, toxicity
+from siltstone.llm import chat, components, frames, licenses, media, mixing, ngram_join, packing, quality, repetition, sharding, textkit, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,6 +121,61 @@ def test_join_keeps_one_of_each(spark):
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_pieces_do_not_grow_with_the_number_of_fragments(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    size = {}
+    for fragments in (16, 1024):
+        rows = ngram_join._pieces(df, ngram_join._sets_of_texts(5), fragments).toArrow()
+        size[fragments] = rows.nbytes
+        assert len(set(rows["fragment"].to_pylist())) == fragments and rows["names"].null_count == len(rows) - len(set(rows["block"].to_pylist()))
+    assert size[1024] <= 1.2 * size[16]
+
+
+def test_shared_ngrams_are_brute_force(spark, monkeypatch):
+    """In many small blocks and fragments: a class is found if others hold `percent` of it, whatever else is."""
+    df = corpus(spark, 200, seed=8).repartition(5)
+    sets = {}
+    for r in df.collect():
+        if own := frozenset(shingles(r.text)):
+            sets.setdefault(own, 0)
+            sets[own] += 1
+    held = {}
+    for own in sets:
+        for g in own:
+            held[g] = held.get(g, 0) + 1
+    alone = {len(own) for own in sets if 100 * sum(held[g] > 1 for g in own) < 80 * len(own) and sets[own] == 1}
+    sharing = sum(100 * sum(held[g] > 1 for g in own) >= 80 * len(own) for own in sets)
+    for grams, places in ((400, 1 << 15), (10**6, 3)):
+        monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+        monkeypatch.setattr(ngram_join, "BLOCK_SETS", places)
+        monkeypatch.setattr(ngram_join, "FRAGMENT_GRAMS", 50)
+        join = ngram_join.Join(df)
+        assert join.sets.count() == sharing and alone, (grams, places)
+
+
+def test_ngrams_of_one_fragment():
+    grams = np.array([5, 5, 9, 7, 9, 1], dtype=np.uint32)
+    places = np.array([0, 0, ngram_join._SEVERAL, 3, 1, 2], dtype=np.uint16)
+    assert ngram_join.held_by_others(places, grams).tolist() == [True, True, False, False, True, False]
+    local, split = ngram_join.split_block(np.array([2, 1, 1]), np.array([1 << 63, 3, 3, 4], dtype=np.uint64), 2)
+    assert local.tolist() == [1, 1, 0] and [(f, p.tolist(), g.tolist()) for f, p, g in split] == [(0, [ngram_join._SEVERAL, 2], [3, 4]), (1, [0], [0])]
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    there = lambda d: any(os.path.exists(f.removeprefix("file://")) for f in d.inputFiles())
+    with frames.scratch(spark) as keep:
+        kept, lost = keep(frames.durable(spark.range(3))), frames.durable(spark.range(3))
+        with frames.scratch(spark) as inner:
+            passed, gone = inner(frames.durable(spark.range(2))), frames.durable(spark.range(2))
+            files = gone.inputFiles()
+        assert there(passed) and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+        keep(passed)
+        of_lost = lost.inputFiles()
+    assert there(kept) and kept.count() == 3 and passed.count() == 2 and not any(os.path.exists(f.removeprefix("file://")) for f in of_lost)
+
+
 def test_chains_across_stars_are_found(spark):
     """Neighbours link, ends don't: connecting them needs every link of the chain."""
     base = [f"w{i}" for i in range(104)]
