@@ -2,13 +2,17 @@
 with difference hashes.
 
 Netpbm: P1 to P6 with comments, any maximum value (16-bit samples are big-endian). BMP: 1, 4, 8, 24 and 32 bits,
-uncompressed, bottom-up or top-down. What can't be decoded gives null tiles and a reason, never an error.
+uncompressed (32 bits with masks of whole bytes, too), bottom-up or top-down. What can't be decoded gives null tiles
+and a reason, never an error: sizes are held against the data before anything of that size is made.
+
+Hashes and other features are computed from the stored tiles, read back, not from the image that they were made of.
 
 Texts travel through the same path: `text_image` writes a payload as a binary PGM of 24 columns, padded with 255
 to whole 24 x 24 tiles, so nothing of it is lost and reading the tiles back returns every byte.
 
 Defined results: a null or empty text is one tile of 255; a null image gives nulls; equal inputs give equal
-outputs, repeated rows repeat; an empty table gives no rows. Memory is that of one image and STRIP rows of sums.
+outputs, repeated rows repeat; an empty table gives no rows; extra columns are ignored. A very long text is one image
+of many tiles. Memory is that of one image and STRIP rows of sums.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     kind, at, head = data[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         m = _TOKEN.match(data, at)
-        if not m:
-            raise ValueError("short header")
+        if not m or not m[1].isdigit():
+            raise ValueError("bad header")
         head.append(int(m[1]))
         at = m.end()
     width, height, most = *head[:2], head[2] if len(head) > 2 else 1
@@ -49,12 +53,18 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("bad header")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
+    if n > 8 * len(data):
+        raise ValueError("short data")
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         values = re.findall(rb"[01]", body) if kind == 1 else body.split()
         if len(values) < n:
             raise ValueError("short data")
+        if not all(v.isdigit() and len(v) < 10 for v in values[:n]):
+            raise ValueError("bad sample")
         samples = np.array(values[:n], dtype=np.int64)
+        if samples.max() > most:
+            raise ValueError("sample over the maximum")
     else:
         at += 1
         if kind == 4:
@@ -75,12 +85,22 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("not BMP")
     word = lambda at, size=4, signed=False: int.from_bytes(data[at : at + size], "little", signed=signed)
     start, head, width, height, bits = word(10), word(14), word(18, signed=True), word(22, signed=True), word(28, 2)
-    if word(30) not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width < 1 or not height:
+    if word(30) not in ((0, 3) if bits == 32 else (0,)) or bits not in (1, 4, 8, 24, 32) or width < 1 or not height:
         raise ValueError("kind of BMP not read")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if start + stride * rows > len(data):
+        raise ValueError("short data")
+    # Where red, green and blue stand in a pixel.
+    channels = [2, 1, 0]
+    if word(30) == 3:
+        masks = [word(at) for at in (54, 58, 62)]
+        whole = {0xFF << 8 * i: i for i in range(4)}
+        if len(data) < 66 or any(m not in whole for m in masks):
+            raise ValueError("masks not read")
+        channels = [whole[m] for m in masks]
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     if bits >= 24:
-        image = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
+        image = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, channels]
     else:
         per = 8 // bits
         shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
@@ -152,6 +172,13 @@ def to_tiles(image: np.ndarray, side: int = SIDE, fill: int = PAD) -> np.ndarray
     return np.ascontiguousarray(image.reshape(down, side, right, side, *image.shape[2:]).swapaxes(1, 2)).reshape(-1, side, side, *image.shape[2:])
 
 
+def from_tiles(tiles: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image of `height` rows and `width` columns that `to_tiles` cut."""
+    side, rest = tiles.shape[1], tiles.shape[3:]
+    down, right = -(-height // side), -(-width // side)
+    return tiles.reshape(down, right, side, side, *rest).swapaxes(1, 2).reshape(down * side, right * side, *rest)[:height, :width]
+
+
 def npy_bytes(array: np.ndarray) -> bytes:
     """NPY 1.0, in C order."""
     head = repr({"descr": array.dtype.str, "fortran_order": False, "shape": array.shape}).encode()
@@ -175,7 +202,7 @@ def text_image(text: str | None, side: int = SIDE) -> bytes:
     return b"P5\n%d %d\n255\n" % (side, size // side) + body + bytes([PAD]) * (size - len(body))
 
 
-TILES = fields("width int, height int, n_tiles int, npy binary, dhash string, error string")
+TILES = fields("width int, height int, n_tiles int, npy binary, error string")
 
 
 def tile_one(data: bytes | None, side: int = SIDE) -> dict:
@@ -184,10 +211,10 @@ def tile_one(data: bytes | None, side: int = SIDE) -> dict:
         return dict.fromkeys(TILES.fieldNames())
     try:
         image = decode(data)
-    except (ValueError, IndexError, TypeError) as problem:
+    except (ValueError, IndexError, TypeError, OverflowError, MemoryError) as problem:
         return dict.fromkeys(TILES.fieldNames()) | {"error": str(problem)[:200] or "bad image"}
     tiles = to_tiles(image, side)
-    return {"width": image.shape[1], "height": image.shape[0], "n_tiles": len(tiles), "npy": npy_bytes(tiles), "dhash": difference_hash(image), "error": None}
+    return {"width": image.shape[1], "height": image.shape[0], "n_tiles": len(tiles), "npy": npy_bytes(tiles), "error": None}
 
 
 def _mapped(df: DataFrame, key: str, value: str, schema: T.StructType, one) -> DataFrame:
@@ -210,7 +237,7 @@ def _mapped(df: DataFrame, key: str, value: str, schema: T.StructType, one) -> D
 
 
 def tile_images(df: DataFrame, key: str, image: str, side: int = SIDE) -> DataFrame:
-    """Image files in a binary column to key, width, height, n_tiles, npy, dhash, error."""
+    """Image files in a binary column to key, width, height, n_tiles, npy, error; `read_tiles` adds their hashes."""
     return _mapped(df, key, image, TILES, lambda v: tile_one(None if v is None else bytes(v), side))
 
 
@@ -219,20 +246,21 @@ def tile_texts(df: DataFrame, key: str = "doc_id", text: str = "text", side: int
     return _mapped(df, key, text, T.StructType([*TILES.fields, T.StructField("n_bytes", T.LongType())]), lambda v: tile_one(text_image(v, side), side) | {"n_bytes": len((v or "").encode())})
 
 
-READ = fields("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, mean_grey double")
+READ = fields("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, mean_grey double")
 
 
-def read_one(npy: bytes) -> dict:
-    """Digests of what the stored tiles hold, from the stored bytes alone."""
-    payload = read_npy(npy)
-    flat = payload.tobytes()
+def read_one(npy: bytes, height: int, width: int) -> dict:
+    """Digests and features of what the stored tiles hold, from the stored bytes and the image's size alone."""
+    tiles = read_npy(npy)
+    flat = tiles.tobytes()
     return {
         "payload_bytes": len(flat),
         "payload_sha256": hashlib.sha256(flat).hexdigest(),
         "tail_crc32": zlib.crc32(flat[-32:]),
         "media_bytes": len(npy),
         "media_sha256": hashlib.sha256(npy).hexdigest(),
-        "mean_grey": round(float(payload.mean()), 6),
+        "dhash": difference_hash(from_tiles(tiles, height, width)),
+        "mean_grey": round(float(tiles.mean()), 6),
     }
 
 
@@ -244,7 +272,8 @@ def read_tiles(tiles: DataFrame, key: str = "doc_id") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = arrow_schema(out)
         for batch in batches:
-            read = [read_one(v.as_py()) if v.is_valid else dict.fromkeys(READ.fieldNames()) for v in batch.column(1)]
+            size = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("height", "width")]
+            read = [read_one(v.as_py(), h, w) if v.is_valid else dict.fromkeys(READ.fieldNames()) for v, h, w in zip(batch.column(1), *size, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(arrow.field(i).type) for i, c in enumerate([batch.column(0), *batch.columns[2:]])] + [pa.array([r[f.name] for r in read], arrow.field(f.name).type) for f in READ.fields],
                 schema=arrow,

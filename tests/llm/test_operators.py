@@ -275,6 +275,63 @@ def test_media_formats():
     assert media.tile_one(b"junk")["error"] and media.tile_one(None)["npy"] is None and media.tile_one(b"P5\n9 9\n255\nxx")["error"]
 
 
+def bmp(width, height, bits, kind=0, body=b"", masks=b""):
+    i = lambda x, n=4: x.to_bytes(n, "little", signed=True)
+    start = 54 + len(masks)
+    return b"BM" + i(start + len(body)) + i(0) + i(start) + i(40) + i(width) + i(height) + i(1, 2) + i(bits, 2) + i(kind) + b"\0" * 20 + masks + body
+
+
+def test_media_masks():
+    pixels = np.arange(24, dtype=np.uint8).reshape(2, 3, 4)
+    mask = lambda *shifts: b"".join((0xFF << s).to_bytes(4, "little") for s in shifts)
+    assert (media.decode(bmp(3, -2, 32, 0, pixels.tobytes())) == pixels[:, :, [2, 1, 0]]).all()
+    assert (media.decode(bmp(3, -2, 32, 3, pixels.tobytes(), mask(0, 8, 16))) == pixels[:, :, :3]).all()
+    assert (media.decode(bmp(3, -2, 32, 3, pixels.tobytes(), mask(24, 16, 8))) == pixels[:, :, [3, 2, 1]]).all()
+    assert media.tile_one(bmp(3, -2, 32, 3, pixels.tobytes(), mask(0, 4, 16)))["error"] == "masks not read"
+    assert media.tile_one(bmp(3, 2, 24, 3, pixels.tobytes()))["error"] == "kind of BMP not read"
+
+
+def test_media_never_fails(spark):
+    big = b"9" * 20
+    bad = [
+        b"P5\n" + big + b" 1\n255\nx",
+        b"P4\n" + big + b" 1\nx",
+        b"P2\n1 1\n255\n" + big,
+        b"P2\n1 1\n255\n256",
+        b"P3\n1 1\n255\n1 2 -3",
+        b"P2\n1 1\n255\nabcde",
+        b"P5\n-1 1\n255\nx",
+        b"P5\n1_0 1\n255\nxxxxxxxxxx",
+        b"P6\n" + b"9" * 5000 + b" 1 255\n",
+        bmp(2**31 - 1, 2**31 - 1, 24),
+        bmp(2**31 - 1, -(2**31), 1),
+        bmp(1, 1, 8, 0, b"\xff" * 4),
+        b"BM",
+        b"",
+    ]
+    rng = random.Random(3)
+    good = [b"P5\n2 2\n255\nabcd", b"P2 2 1 9 1 2", bmp(1, 1, 24, 0, b"abcd")]
+    for _ in range(3000):
+        image = bytearray(rng.choice(good))
+        for _ in range(rng.randint(1, 4)):
+            image[rng.randrange(len(image))] = rng.randrange(256)
+        assert media.tile_one(bytes(image))["npy"] or media.tile_one(bytes(image))["error"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*bad, *good, None])], "doc_id long, image binary")
+    got = {r.doc_id: r for r in media.read_tiles(media.tile_images(df, "doc_id", "image")).collect()}
+    assert all(got[i].error and got[i].n_tiles is None and got[i].dhash is None for i in range(len(bad)))
+    assert all(got[len(bad) + i].n_tiles == 1 and len(got[len(bad) + i].dhash) == 16 for i in range(len(good))) and got[len(bad) + len(good)].error is None
+
+
+def test_media_hashes_are_of_the_stored_tiles():
+    rng = np.random.default_rng(2)
+    for shape in ((24, 24), (50, 30), (25, 49, 3), (1, 1)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        stored = media.npy_bytes(media.to_tiles(image))
+        assert (media.from_tiles(media.read_npy(stored), *shape[:2]) == image).all()
+        assert media.read_one(stored, *shape[:2])["dhash"] == media.difference_hash(image)
+        assert media.read_one(media.npy_bytes(media.to_tiles(255 - image)), *shape[:2])["dhash"] != media.difference_hash(image) or shape == (1, 1)
+
+
 def test_media_resize_and_tiles():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (48, 54), dtype=np.uint8)
