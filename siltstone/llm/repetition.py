@@ -1,7 +1,7 @@
 """Quality rules on repetition, by suffix arrays.
 
-For each text, the suffix array of its words and the longest common prefixes (LCP) of neighbouring suffixes are
-computed by prefix doubling. A maximal repeated substring is an LCP interval; the deepest interval that a suffix
+For each text, the suffix array of its words is computed by prefix doubling, then the longest common prefixes (LCP)
+of neighbouring suffixes. A maximal repeated substring is an LCP interval; the deepest interval that a suffix
 lies in has the larger of the LCPs with its two neighbours as its value, so the union of all repeats of at least
 `min_repeat` words is the union of the spans (suffix, that value). The rule limits the fraction of words covered
 by that union and the longest repeat.
@@ -12,7 +12,7 @@ duplicate 6-grams, there of characters) and 50 words (the exact repeat that dedu
 there of tokens), in texts of any length.
 
 Many texts share one array: a word's identity includes its row, so no repeat ever leaves its text. Memory is that
-of one slice (about a megabyte of text) or of the longest text.
+of one slice (about a megabyte of text) or of the longest text: some 100 bytes a word, whatever repeats.
 
 Defined results: null or empty texts have no words, cover nothing and fail the base rule; texts shorter than
 `min_repeat` repeat nothing; ties don't matter, as spans are united; repeated rows get equal results; an empty
@@ -39,61 +39,91 @@ _NEWLINE = K.byte_class(b"\n")
 _LEAD = np.array([byte & 0xC0 != 0x80 for byte in range(256)])
 
 
-def suffix_ranks(keys: np.ndarray) -> list[np.ndarray]:
-    """For h = 1, 2, 4, ...: the rank of each window of h items, until all windows differ.
+#: Words compared at once when prefixes are.
+_COMPARED = 1 << 18
 
-    Equal ranks mean equal windows. Each rank array has one more entry, for the empty suffix. Only suffixes that
-    still tie are sorted again: a group of tied suffixes owns the ranks from its first one on.
+
+def suffix_order(keys: np.ndarray) -> np.ndarray:
+    """The suffix array: suffixes are ranked by their first 1, 2, 4, ... items, until all ranks differ.
+
+    Only suffixes that still tie are sorted again: a group of tied suffixes owns the ranks from its first one on.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     ranked = keys[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    rank = np.full(n + 1, -1, dtype=np.int64)
+    del ranked
+    # One more rank, for the empty suffix.
+    rank = np.full(n + 1, -1, dtype=np.int32)
     rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
-    levels, h = [rank], 1
-    tied = order[~(first & np.append(first[1:], True))]
+    tied, h = order[~(first & np.append(first[1:], True))], 1
+    del order, first
     while len(tied):
-        own, after = rank[tied], rank[np.minimum(tied + h, n)]
-        sort = np.lexsort((after, own))
-        tied, own, after = tied[sort], own[sort], after[sort]
-        group = np.concatenate([[True], own[1:] != own[:-1]])
-        fresh = group | np.concatenate([[True], after[1:] != after[:-1]])
-        at = np.arange(len(tied))
-        begins = np.maximum.accumulate(np.where(group, at, 0))
-        rank = rank.copy()
+        both = rank[tied].astype(np.int64) << 32 | (rank[np.minimum(tied + h, n)] + 1)
+        sort = np.argsort(both, kind="stable")
+        tied, both = tied[sort], both[sort]
+        del sort
+        fresh = np.concatenate([[True], both[1:] != both[:-1]])
+        own = (both >> 32).astype(np.int32)
+        del both
+        at = np.arange(len(tied), dtype=np.int32)
+        begins = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), at, 0))
         rank[tied] = own + np.maximum.accumulate(np.where(fresh, at, 0)) - begins
-        levels.append(rank)
         h *= 2
         tied = tied[~(fresh & np.append(fresh[1:], True))]
-    return levels
-
-
-def neighbour_lcp(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array, and each entry's LCP with the entry before it (0 for the first)."""
-    n = len(levels[0]) - 1
-    order = np.empty(n, dtype=np.int64)
-    order[levels[-1][:n]] = np.arange(n)
-    lcp = np.zeros(n, dtype=np.int64)
-    if n > 1:
-        # Pairs whose first items differ are done.
-        at = 1 + np.flatnonzero(levels[0][order[:-1]] == levels[0][order[1:]])
-        left, right = order[at - 1], order[at]
-        length = np.zeros(len(at), dtype=np.int64)
-        for level in range(len(levels) - 1, -1, -1):
-            a, b = left + length, right + length
-            inside = np.maximum(a, b) < n
-            same = inside & (levels[level][np.minimum(a, n)] == levels[level][np.minimum(b, n)])
-            length[same] += 1 << level
-        lcp[at] = length
-    return order, lcp
+    order = np.empty(n, dtype=np.int32)
+    order[rank[:n]] = np.arange(n, dtype=np.int32)
+    return order
+
+
+def common_prefixes(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair of places, how many items from there on are equal; in strides that double while they are."""
+    n = len(keys)
+    length = np.zeros(len(left), dtype=np.int64)
+    going, stride = np.arange(len(left)), 1
+    while len(going):
+        after = []
+        stride = max(1, min(stride, _COMPARED // len(going)))
+        for lo in range(0, len(going), max(1, _COMPARED // stride)):
+            some = going[lo : lo + max(1, _COMPARED // stride)]
+            a, b = left[some] + length[some], right[some] + length[some]
+            steps = np.arange(stride)
+            differ = keys[np.minimum(a[:, None] + steps, n - 1)] != keys[np.minimum(b[:, None] + steps, n - 1)]
+            differ |= np.maximum(a, b)[:, None] + steps >= n
+            ended = differ.any(1)
+            length[some] += np.where(ended, differ.argmax(1), stride)
+            after.append(some[~ended])
+        going = np.concatenate(after)
+        stride *= 2
+    return length
+
+
+def neighbour_lcp(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Each entry's LCP with the entry before it in the suffix array (0 for the first).
+
+    Where the items before a suffix and before its neighbour are equal, the LCP is that of the suffix one place earlier
+    less one; so only the others are compared, and their LCPs add up to at most 2 n log n.
+    """
+    n = len(order)
+    before = np.full(n, -1, dtype=np.int64)
+    before[order[1:]] = order[:-1]
+    place = np.arange(n)
+    own = before <= 0
+    own[0] = True
+    own |= keys[np.maximum(place - 1, 0)] != keys[np.maximum(before - 1, 0)]
+    by_place = np.zeros(n, dtype=np.int64)
+    some = np.flatnonzero(own & (before >= 0))
+    by_place[some] = common_prefixes(keys, some, before[some])
+    last = np.maximum.accumulate(np.where(own, place, 0))
+    return (by_place[last] - (place - last))[order]
 
 
 def repeat_lengths(keys: np.ndarray) -> np.ndarray:
     """For each position, the length of the longest substring that starts there and occurs elsewhere too."""
     out = np.zeros(len(keys), dtype=np.int64)
     if len(keys):
-        order, lcp = neighbour_lcp(suffix_ranks(keys))
+        order = suffix_order(keys)
+        lcp = neighbour_lcp(keys, order)
         out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
     return out
 

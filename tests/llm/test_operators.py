@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -548,6 +549,26 @@ def test_suffix_array_repeats():
             assert repetition.repeat_lengths(np.array(words, dtype=np.uint64)).tolist() == brute_repeats(words)
 
 
+def test_suffix_array_memory_does_not_depend_on_repeats():
+    peaks = []
+    rng = np.random.default_rng(1)
+    for words in (rng.integers(0, 1 << 60, 200_000), np.zeros(200_000, np.int64), np.tile(rng.integers(0, 9, 1000), 200)):
+        tracemalloc.start()
+        start = time.time()
+        lengths = repetition.repeat_lengths(words.astype(np.uint64))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert time.time() - start < 20
+    # The last: a passage of 1,000 words, 200 times.
+    assert lengths[0] == 199_000 and lengths[-1] >= 1 and max(peaks) < 150 * 200_000
+
+
+def test_common_prefixes_of_long_repeats():
+    keys = np.array([1, 2, 3] * 4000 + [9] + [1, 2, 3] * 4000, dtype=np.uint64)
+    got = repetition.common_prefixes(keys, np.array([0, 0, 1, 12000, 5]), np.array([12001, 3, 12002, 0, 5]))
+    assert got.tolist() == [12000, 11997, 11999, 0, len(keys) - 5]
+
+
 def brute_rules(text, least=repetition.MIN_REPEAT):
     text = text or ""
     words = SPACE.findall(text)
