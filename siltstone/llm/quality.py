@@ -9,13 +9,15 @@ non-negative unbiased risk
 
 and scores every document. Labels of 0 are never used in fitting.
 
-The gradient steps use at most `max_positive` labelled and `max_unlabelled` unlabelled rows, chosen by a hash of the
-id; only their statistics reach the driver (some 30 numbers a row). The prior is that of all unlabelled rows outside
+The gradient steps use at most `max_positive` labelled and `max_unlabelled` unlabelled rows, one for each id, chosen
+by a hash of the id, then the id; only their statistics reach the driver (some 30 numbers a row). The prior is that of all unlabelled rows outside
 the held-out fold: the first fit scores them, and 97 counts reach the driver. Scoring reads every text whole, in one
 pass, without a shuffle. Fits of the same tables agree bit for bit.
 
 Defined results: null and empty texts are scored by their statistics, all zero; a null id counts as empty text
-when folds are chosen; repeated rows get equal scores; several labels of one id count as positive when their mean
+when folds are chosen, and such rows are scored, but are in no sample; of several texts under one id one is in the
+sample, the least by its statistics' bytes; equal texts get equal scores, whatever texts are beside them, and so do repeated rows; very long texts
+are described whole, in memory in proportion to them; several labels of one id count as positive when their mean
 is at least 0.5; with no positives every score is 0.5 (kept); an empty table gives no rows; extra columns,
 `score` and `predicted` too, are ignored by `score_documents` and replaced by nothing in `keep_good`.
 """
@@ -113,7 +115,10 @@ class Model:
     prior: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
+        """Spelled out, as a product of matrices may round a row differently among other rows."""
+        x = (x - self.mean) / self.scale
+        hidden = np.tanh(self.b1 + sum(x[:, [j]] * w for j, w in enumerate(self.w1)))
+        return self.b2 + sum(hidden[:, j] * w for j, w in enumerate(self.w2))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.logits(x).astype(np.float64), -30, 30)))
@@ -142,32 +147,47 @@ def prior_of_counts(positive: np.ndarray, cuts: np.ndarray, counts: np.ndarray)
     return float(np.clip((above_u / above_p + 2 * error).min() - 2 * error.min(), 0.02, 0.98))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(weights: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """What a step goes down on, and its gradient, for a network of one hidden layer.
+
+    Without a prior, the logistic loss of positives against unlabelled rows. With one, the unbiased risk; where its
+    negative part falls below 0, which no true risk does, that part alone with its sign turned: a step back.
+    """
+    x = np.concatenate([p, u])
+    h = np.tanh(x @ weights[0] + weights[1])
+    z = h @ weights[2] + weights[3]
+    zp, zu = z[: len(p)], z[len(p) :]
+    # loss(z, +) = log(1 + exp(-z)), loss(z, -) = log(1 + exp(z)); the derivatives below are of the sums.
+    positive, negative = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean()
+    up, down, across = -_sigmoid(-zp) / len(p), _sigmoid(zu) / len(u), _sigmoid(zp) / len(p)
+    if prior is None:
+        value, g = positive + negative, np.concatenate([up, down])
+    else:
+        negative -= prior * np.logaddexp(0, zp).mean()
+        if negative >= 0:
+            value, g = prior * positive + negative, np.concatenate([prior * up - prior * across, down])
+        else:
+            value, g = -negative, np.concatenate([prior * across, -down])
+    gh = np.outer(g, weights[2]) * (1 - h * h)
+    return float(value), [x.T @ gh, gh.sum(0), h.T @ g, np.array([g.sum()])]
+
+
 def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 40, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> list[np.ndarray]:
-    """Adam on the logistic loss: nnPU risk with a prior, positives against unlabelled without one."""
+    """Adam on `risk`, with weight decay."""
     rng = np.random.default_rng(seed)
     k = p.shape[1]
     weights = [rng.normal(0, 1 / np.sqrt(k), (k, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     step, rounds = 0, max(1, max(len(p), len(u)) // batch)
     for epoch in range(epochs):
         for _ in range(rounds):
-            x = np.concatenate([p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]])
-            h = np.tanh(x @ weights[0] + weights[1])
-            z = h @ weights[2] + weights[3]
-            zp, zu = z[:batch], z[batch:]
-            if prior is None:
-                g = np.concatenate([-sigmoid(-zp), sigmoid(zu)])
-            else:
-                # loss(z, +) = log(1 + exp(-z)), loss(z, -) = log(1 + exp(z))
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                if negative >= 0:
-                    g = np.concatenate([-prior * sigmoid(-zp) - prior * sigmoid(zp), sigmoid(zu)])
-                else:  # the negative part has been fitted beyond what it can be: step back
-                    g = np.concatenate([prior * sigmoid(zp), -sigmoid(zu)])
-            g /= batch
-            gh = np.outer(g, weights[2]) * (1 - h * h)
-            grads = [x.T @ gh + decay * weights[0], gh.sum(0), h.T @ g + decay * weights[2], np.array([g.sum()])]
+            _, grads = risk(weights, p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)], prior)
+            for i in (0, 2):
+                grads[i] += decay * weights[i]
             step += 1
             speed = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for i, grad in enumerate(grads):
@@ -212,8 +232,8 @@ def held_out(id_col: str):
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
-    table = rows.toArrow()
-    return np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)[np.argsort(table["h"].to_numpy(), kind="stable")].astype(np.float64)
+    table = rows.toArrow().sort_by([("h", "ascending"), ("k", "ascending")])
+    return np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
 def count_scores(documents: DataFrame, logits: Callable[[np.ndarray], np.ndarray], cuts: np.ndarray, text: str = "text") -> np.ndarray:
@@ -237,14 +257,14 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Learns from labelled rows outside the held-out fold, at most as many as the bounds say."""
     docs = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
     learn = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(~held_out("k")).groupBy("k").agg(F.avg("y").alias("y")).where("y >= 0.5")
+    # Bounded by ids, of which each gives one row, so by rows.
     chosen = learn.select("k", md5_int(F.lit("positive"), F.col("k")).alias("h")).orderBy("h", "k").limit(max_positive)
-    # Broadcast: at most max_positive ids.
-    positive = docs.join(F.broadcast(chosen), "k")
-    # A limit on ids, then their texts: no sort carries texts.
-    some = docs.where(~held_out("k")).select("k", md5_int(F.lit("unlabelled"), F.col("k")).alias("h")).orderBy("h", "k").limit(max_unlabelled)
-    unlabelled = docs.join(F.broadcast(some.dropDuplicates(["k"])), "k")
+    unlabelled = docs.where(~held_out("k") & F.col("k").isNotNull()).select("k").distinct()
+    some = unlabelled.select("k", md5_int(F.lit("unlabelled"), F.col("k")).alias("h")).orderBy("h", "k").limit(max_unlabelled)
+    # Broadcast: at most max_positive or max_unlabelled ids. An id that several rows share counts once.
+    one_each = lambda ids: _described(docs.join(F.broadcast(ids), "k"), "h", "k").groupBy("h", "k").agg(F.min("x").alias("x"))
     everyone = docs.where(~held_out("k"))
-    model = fit_arrays(*[_matrix(_described(rows, "h")) for rows in (positive, unlabelled)], lambda logits, cuts: count_scores(everyone, logits, cuts))
+    model = fit_arrays(*[_matrix(one_each(ids)) for ids in (chosen, some)], lambda logits, cuts: count_scores(everyone, logits, cuts))
     give_back_memory()
     return model
 

@@ -84,7 +84,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, model)
-    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_toxic_words")
+    # The offending places, as start:length in bytes of the text.
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_toxic_words", spans.alias("spans"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ both bounds are on fitting alone. Scoring reads every text whole, in one pass, w
 tables agree bit for bit.
 
 Defined results: null and empty texts, and texts without words, have no toxic words and get the score of none; a
-null id counts as empty text when folds are chosen; repeated rows get equal scores; several labels of one id count
+null id counts as empty text when folds are chosen; equal texts get equal scores, whatever texts are beside them,
+and so do repeated rows; very long texts are tagged whole, in memory in proportion to them; several labels of one id count
 as toxic when their mean is at least 0.5; with no toxic labels or no clean ones nothing is toxic; an empty table
 gives no rows; extra columns are ignored.
 """
@@ -68,74 +69,87 @@ def spelling(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
-def marginals(emission: np.ndarray, fresh: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Words of a lane, and lanes whose words are held at once.
+_DEPTH, _LANES = 32, 1 << 11
+
+
+def marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over many chains laid end to end.
 
-    emission: the toxic state's score less the clean one's, per word; fresh: whether a chain begins there; start
-    and step: log scores of states and of steps between them. Returns each word's probability to be toxic, the sum
-    of the probabilities of each kind of step (2 x 2) and of each first state (2).
+    emission: the toxic state's score less the clean one's, per word; first: the bounds of the chains, which may be
+    empty; start and step: log scores of states and of steps between them. Returns each word's probability to be
+    toxic, the sum of the probabilities of each kind of step (2 x 2) and of each first state (2).
 
-    The words are laid out in lanes. All lanes advance together: first each lane's product of 2 x 2 matrices, then
-    the messages from lane to lane, then the messages within lanes. So numpy sees long vectors, whatever the chains.
+    Each chain is cut into lanes of _DEPTH words, from its beginning. All lanes advance together: first each lane's
+    product of 2 x 2 matrices, then the messages from lane to lane of all chains together, then the messages within
+    lanes. So numpy sees long vectors, whatever the chains, and a chain's numbers depend on that chain alone.
     """
     n = len(emission)
     if not n:
         return np.zeros(0), np.zeros((2, 2)), np.zeros(2)
-    lanes = max(1, int(math.sqrt(n)))
-    depth = -(-n // lanes)
-    pad = lanes * depth - n
-    with np.errstate(under="ignore"):
-        e = np.exp(np.clip(np.concatenate([emission, np.zeros(pad)]), -30, 30)).reshape(lanes, depth).T
-    new = np.concatenate([fresh, np.ones(pad, dtype=bool)]).reshape(lanes, depth).T
+    per_chain = -(-np.diff(first) // _DEPTH)
+    chain = np.repeat(np.arange(len(per_chain)), per_chain)
+    lanes = len(chain)
+    nth = np.arange(lanes) - np.repeat(np.cumsum(per_chain) - per_chain, per_chain)
+    begin = first[chain] + nth * _DEPTH
+    size = np.minimum(first[chain + 1] - begin, _DEPTH)
     a, b = np.exp(start), np.exp(step)
-    # Row vector times this matrix: m[i][j] for the step into a word. A fresh chain forgets what came before.
-    m = [[np.where(new, a[j], b[i][j]) * (e if j else 1.0) for j in (0, 1)] for i in (0, 1)]
+    within = np.arange(_DEPTH)[:, None]
+
+    def matrices(lo: int, hi: int):
+        """Row vector times m[i][j]: the step into a word. A chain's first word forgets what came before; beyond its
+        last word nothing changes."""
+        inside = within < size[lo:hi]
+        with np.errstate(under="ignore"):
+            e = np.exp(np.clip(emission[np.minimum(begin[lo:hi] + within, n - 1)], -30, 30))
+        new = (within == 0) & (nth[lo:hi] == 0)
+        return inside, new, [[np.where(inside, np.where(new, a[j], b[i][j]) * (e if j else 1.0), float(i == j)) for j in (0, 1)] for i in (0, 1)]
 
     def scaled(*x):
         total = sum(x)
         return [v / total for v in x]
 
     # Products over each lane, as far as their direction: p[i][j].
-    p = [[np.ones(lanes), np.zeros(lanes)], [np.zeros(lanes), np.ones(lanes)]]
-    for t in range(depth):
-        q = [[p[i][0] * m[0][j][t] + p[i][1] * m[1][j][t] for j in (0, 1)] for i in (0, 1)]
-        total = q[0][0] + q[0][1] + q[1][0] + q[1][1]
-        p = [[v / total for v in row] for row in q]
-    into, back = np.empty((2, lanes)), np.empty((2, lanes))
-    x, y = (0.5, 0.5), (0.5, 0.5)
-    for lane in range(lanes):
-        into[:, lane] = x
-        x = scaled(x[0] * p[0][0][lane] + x[1] * p[1][0][lane], x[0] * p[0][1][lane] + x[1] * p[1][1][lane])
-    for lane in range(lanes - 1, -1, -1):
-        back[:, lane] = y
-        y = scaled(p[0][0][lane] * y[0] + p[0][1][lane] * y[1], p[1][0][lane] * y[0] + p[1][1][lane] * y[1])
-    ahead = np.empty((2, depth + 1, lanes))
-    ahead[:, 0] = into
-    for t in range(depth):
-        ahead[:, t + 1] = scaled(*[ahead[0, t] * m[0][j][t] + ahead[1, t] * m[1][j][t] for j in (0, 1)])
-    behind = np.empty((2, depth, lanes))
-    behind[:, -1] = back
-    for t in range(depth - 1, 0, -1):
-        behind[:, t - 1] = scaled(*[m[i][0][t] * behind[0, t] + m[i][1][t] * behind[1, t] for i in (0, 1)])
-    clean, toxic = ahead[0, 1:] * behind[0], ahead[1, 1:] * behind[1]
-    probability = (toxic / (clean + toxic)).T.ravel()[:n]
-    pair = [[ahead[i, :-1] * m[i][j] * behind[j] for j in (0, 1)] for i in (0, 1)]
-    total = pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]
-    inner = np.where(new, 0.0, 1.0 / total)
-    steps = np.array([[float((pair[i][j] * inner).sum()) for j in (0, 1)] for i in (0, 1)])
-    first = float(probability[fresh].sum())
-    return probability, steps, np.array([fresh.sum() - first, first])
-
-
-def _by_parts(emission: np.ndarray, fresh: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray, part: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`marginals`, a bounded number of whole chains at a time."""
-    out, lo = [], 0
-    while lo < len(first) - 1:
-        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + part, side="right")) - 1)
-        a, b = first[lo], first[hi]
-        out.append(marginals(emission[a:b], fresh[a:b], start, step))
-        lo = hi
-    return np.concatenate([p for p, _, _ in out]), sum(s for _, s, _ in out), sum(f for _, _, f in out)
+    p = np.empty((2, 2, lanes))
+    for lo in range(0, lanes, _LANES):
+        _, _, m = matrices(lo, min(lo + _LANES, lanes))
+        q = [[np.full(m[0][0].shape[1], float(i == j)) for j in (0, 1)] for i in (0, 1)]
+        for t in range(_DEPTH):
+            q = [[q[i][0] * m[0][j][t] + q[i][1] * m[1][j][t] for j in (0, 1)] for i in (0, 1)]
+            total = q[0][0] + q[0][1] + q[1][0] + q[1][1]
+            q = [[v / total for v in row] for row in q]
+        p[:, :, lo : lo + _LANES] = q
+    into, back = np.full((2, lanes), 0.5), np.full((2, lanes), 0.5)
+    by_nth = np.argsort(nth, kind="stable")
+    rounds = np.split(by_nth, np.cumsum(np.bincount(nth))[:-1])
+    for at in rounds[1:]:
+        x, y = into[:, at - 1]
+        q = p[:, :, at - 1]
+        into[:, at] = scaled(x * q[0, 0] + y * q[1, 0], x * q[0, 1] + y * q[1, 1])
+    for at in rounds[:0:-1]:
+        x, y = back[:, at]
+        q = p[:, :, at]
+        back[:, at - 1] = scaled(q[0, 0] * x + q[0, 1] * y, q[1, 0] * x + q[1, 1] * y)
+    probability, steps, begins = np.empty(n), np.zeros((2, 2)), 0.0
+    for lo in range(0, lanes, _LANES):
+        hi = min(lo + _LANES, lanes)
+        inside, new, m = matrices(lo, hi)
+        ahead = np.empty((2, _DEPTH + 1, hi - lo))
+        ahead[:, 0] = into[:, lo:hi]
+        for t in range(_DEPTH):
+            ahead[:, t + 1] = scaled(*[ahead[0, t] * m[0][j][t] + ahead[1, t] * m[1][j][t] for j in (0, 1)])
+        behind = np.empty((2, _DEPTH, hi - lo))
+        behind[:, -1] = back[:, lo:hi]
+        for t in range(_DEPTH - 1, 0, -1):
+            behind[:, t - 1] = scaled(*[m[i][0][t] * behind[0, t] + m[i][1][t] * behind[1, t] for i in (0, 1)])
+        clean, toxic = ahead[0, 1:] * behind[0], ahead[1, 1:] * behind[1]
+        found = toxic / (clean + toxic)
+        probability[(begin[lo:hi] + within)[inside]] = found[inside]
+        begins += float(found[new].sum())
+        pair = [[ahead[i, :-1] * m[i][j] * behind[j] for j in (0, 1)] for i in (0, 1)]
+        inner = np.where(inside & ~new, 1.0 / (pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]), 0.0)
+        steps += [[float((pair[i][j] * inner).sum()) for j in (0, 1)] for i in (0, 1)]
+    return probability, steps, np.array([(per_chain > 0).sum() - begins, begins])
 
 
 @dataclass(frozen=True)
@@ -156,11 +170,12 @@ class Model:
         text, starts, ends, first = words_of(buf, bounds)
         if not len(starts):
             return np.zeros(0), starts, ends, first
-        probability, _, _ = marginals(self.emissions(text, starts, ends), _fresh(first, len(starts)), self.start, self.step)
+        probability, _, _ = marginals(self.emissions(text, starts, ends), first, self.start, self.step)
         return probability, starts, ends, first
 
     def scores(self, probability: np.ndarray, first: np.ndarray) -> np.ndarray:
-        z = np.column_stack([np.ones(len(first) - 1), document_signs(probability, first)]) @ self.calibration
+        # Spelled out, as a product of matrices may round a row differently among other rows.
+        z = self.calibration[0] + sum(sign * weight for sign, weight in zip(document_signs(probability, first).T, self.calibration[1:], strict=True))
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -302,7 +317,7 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, rate: float
     used = np.unique(word)
     for _ in range(rounds):
         emission = (sum(w[kind] for kind in spelled_all.T) + bias[0])[word]
-        probability, steps, firsts = _by_parts(emission, fresh, first, start, step)
+        probability, steps, firsts = marginals(emission, first, start, step)
         error = np.bincount(word, weights=probability - label, minlength=len(known))
         grads = [
             sum(np.bincount(kind, weights=error[used], minlength=len(w)) for kind in spelled_all[used].T) * scale + decay * w,

@@ -659,13 +659,15 @@ def test_toxic_spans(spark):
         assert found == set(re.findall(r"\b(?:grumf|zlort)\w*", r.text))
 
 
-def test_marginals_are_brute_force():
+@pytest.mark.parametrize("depth", [1, 2, 3, 32])
+def test_marginals_are_brute_force(monkeypatch, depth):
     rng = np.random.default_rng(4)
     lengths = [1, 2, 5, 3]
     e, start, step = rng.normal(size=11), rng.normal(size=2), rng.normal(size=(2, 2))
-    fresh = np.zeros(11, dtype=bool)
-    fresh[np.cumsum([0, *lengths[:-1]])] = True
-    got, steps, first = toxicity.marginals(e, fresh, start, step)
+    bounds = np.array([0, 0, 1, 3, 8, 8, 11, 11])
+    monkeypatch.setattr(toxicity, "_DEPTH", depth)
+    monkeypatch.setattr(toxicity, "_LANES", 2)
+    got, steps, first = toxicity.marginals(e, bounds, start, step)
     at, expected, all_steps, all_first = 0, [], np.zeros((2, 2)), np.zeros(2)
     for n in lengths:
         weight = {}
@@ -681,6 +683,99 @@ def test_marginals_are_brute_force():
     assert np.allclose(got, expected) and np.allclose(steps, all_steps) and np.allclose(first, all_first)
 
 
+def test_equal_texts_get_equal_scores(spark):
+    """Whatever texts are beside them, and wherever in a slice they stand."""
+    docs, labels = labelled(spark)
+    texts = [r.text for r in docs.collect()]
+    long = " ".join(texts[:40])
+    rng = random.Random(4)
+    rows = [(i, t) for i, t in enumerate([t for _ in range(40) for t in (*rng.sample(texts, rng.randint(0, 30)), long, texts[7], "", None, texts[10])])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for module in (quality, toxicity):
+        model = module.fit(docs, labels)
+        scores = {}
+        for r in module.score_documents(df, model).collect():
+            scores.setdefault(rows[r.doc_id][1], set()).add(r.score)
+        assert len(scores) > 100 and all(len(found) == 1 for found in scores.values())
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.9])
+def test_risk_and_its_gradient(prior):
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(0.5, 1, (7, 3)), rng.normal(-0.5, 1, (9, 3))
+    seen = set()
+    for bias in (-6.0, 0.0, 6.0):
+        weights = [rng.normal(size=(3, 4)), rng.normal(size=4), rng.normal(size=4), np.array([bias])]
+        value, grads = quality.risk(weights, p, u, prior)
+        # The risk by its definition.
+        f = lambda x, w: float(np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0])
+        loss = lambda z, sign: np.log1p(np.exp(-sign * z))
+        mean = lambda xs, sign, w: sum(loss(f(x, w), sign) for x in xs) / len(xs)
+
+        def by_hand(w):
+            if prior is None:
+                return mean(p, 1, w) + mean(u, -1, w)
+            negative = mean(u, -1, w) - prior * mean(p, -1, w)
+            seen.add(bool(negative >= 0))
+            return prior * mean(p, 1, w) + negative if negative >= 0 else -negative
+
+        assert value == pytest.approx(by_hand(weights))
+        for i, grad in enumerate(grads):
+            for at in np.ndindex(grad.shape):
+                moved = [[w.copy() for w in weights] for _ in range(2)]
+                moved[0][i][at] += 1e-6
+                moved[1][i][at] -= 1e-6
+                assert grad[at] == pytest.approx((by_hand(moved[0]) - by_hand(moved[1])) / 2e-6, abs=1e-6)
+    assert prior is None or (prior < 0.5) in seen
+
+
+def plain_features(text):
+    """The quality features of one text, spelled out."""
+    body = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", body)
+    n, size = len(words), len(body)
+    sets = {"symbol": b"#*$%&|<>^~_=+\\@", "pipe": b"|", "digit": b"0123456789", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "stop": b".!?", "mark": b",;:'\"()-[]{}/", "high": bytes(range(128, 256)), "space": b" \t\n\v\f\r", "line": b"\n", "control": bytes([*range(9), 11, 12, *range(14, 32), 127])}
+    share = lambda flags: sum(flags) / max(n, 1)
+    out = [sum(b in s for b in body) / max(size, 1) for s in sets.values()]
+    for name in ("symbol", "digit", "stop", "mark"):
+        out += [share(w[-1] in sets[name] for w in words), share(w[0] in sets[name] for w in words)]
+    mean = share(map(len, words))
+    out += [mean, max(share(len(w) ** 2 for w in words) - mean * mean, 0) ** 0.5, share(len(w) == 1 for w in words), share(len(w) > 20 for w in words)]
+    beside = [i > 0 and words[i] == words[i - 1] for i in range(n)]
+    distinct, lines = len(set(words)), body.count(b"\n") + 1
+    out += [distinct / max(n, 1), share(beside), share(i > 1 and words[i] == words[i - 2] for i in range(n))]
+    out += [distinct / max(n, 1) ** 0.5, np.log1p(n), np.log1p(size), np.log1p(n / lines), np.log1p(lines)]
+    run = lambda flags: max((len(list(g)) for k, g in itertools.groupby(flags) if k), default=0)
+    return out + [np.log1p(run(beside)), np.log1p(run(w[-1] in sets["symbol"] for w in words))]
+
+
+def test_quality_features_and_scores_are_those_spelled_out():
+    rng = random.Random(3)
+    pool = ["a", "bc", "É", "x#", "#y", "12", "9.", "end.", "(z)", "w" * 30, "dup", "dup", "|", "\x01"]
+    texts = ["", " ", "one", *["".join(rng.choice(pool) + rng.choice([" ", "  ", "\n", "\t"]) for _ in range(rng.randint(1, 60))) for _ in range(50)]]
+    weights = np.random.default_rng(1)
+    k = quality.N_FEATURES
+    model = quality.Model(weights.normal(size=k), weights.uniform(0.5, 2, k), weights.normal(size=(k, 4)), weights.normal(size=4), weights.normal(size=4), 0.3, 0.5)
+    for _, _, buf, bounds in textkit.slices(pa.array(texts)):
+        got = quality.features(buf, bounds)
+        expected = np.array([plain_features(t) for t in texts])
+        assert np.allclose(got, expected, rtol=1e-5, atol=1e-6)
+        logits = np.tanh((got - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2
+        assert np.allclose(model.scores(got), 1 / (1 + np.exp(-logits)))
+
+
+def test_quality_fit_brings_one_row_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 10, f"text number {i} of many", "en", "s", 0) for i in range(3000)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    seen, fit = [], quality.fit_arrays
+    monkeypatch.setattr(quality, "fit_arrays", lambda p, u, count: seen.append((len(p), len(u))) or fit(p, u, count))
+    quality.fit(docs, labels, max_positive=20, max_unlabelled=20)
+    learnable = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(10))
+    assert seen == [(learnable, learnable)]
+    again = [quality.fit(docs.repartition(n), labels, max_positive=4, max_unlabelled=5) for n in (1, 7)]
+    assert seen[1:] == [(4, 5)] * 2 and (again[0].w1 == again[1].w1).all()
+
+
 def test_class_prior():
     rng = np.random.default_rng(0)
     positive, negative = rng.normal(3, 1, 8000), rng.normal(-3, 1, 3000)
