@@ -91,17 +91,19 @@ def features(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out += [np.log1p(n / lines), np.log1p(lines)]
     # The rows' stretches of equal neighbours and of words that end in a symbol.
     run = np.zeros(n_rows)
-    np.maximum.at(run, rows, _runs(beside.astype(bool)))
+    np.maximum.at(run, rows, _runs(beside.astype(bool), first))
     ended = np.zeros(n_rows)
-    np.maximum.at(ended, rows, _runs(_CLASSES["symbol"][last]))
+    np.maximum.at(ended, rows, _runs(_CLASSES["symbol"][last], first))
     out += [np.log1p(run), np.log1p(ended)]
     return np.stack(out, axis=1).astype(np.float32) if n_rows else np.zeros((0, N_FEATURES), np.float32)
 
 
-def _runs(flags: np.ndarray) -> np.ndarray:
-    """How many flags in a row end at each place."""
+def _runs(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many flags of one row end at each place without a gap; `first` holds the rows' bounds."""
     total = np.cumsum(flags)
-    return total - np.maximum.accumulate(np.where(flags, 0, total)) if len(flags) else total
+    begins = np.zeros(len(flags), dtype=bool)
+    begins[first[:-1][np.diff(first) > 0]] = True
+    return total - np.maximum.accumulate(np.where(flags, np.where(begins, total - 1, 0), total)) if len(flags) else total
 
 
 @dataclass(frozen=True)
