@@ -438,7 +438,8 @@ class Join:
         with scratch(df.sparkSession) as keep:
             self.members = keep(durable(named_sets(df, key, text, size)))
             self.classes = keep(durable(self.members.where("cls is not null").groupBy("cls", "n").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))))
-            self.sets = keep(durable(self._sharing_sets(df, key, text, size)))
+            with scratch(df.sparkSession) as keep_sets:
+                self.sets = keep(keep_sets(durable(self._sharing_sets(df, key, text, size))))
             lists = durable(postings(self.sets, percent))
             if all_links:
                 self.links = keep(durable(verified(cross_pairs(lists, self.sets, None, percent), self.sets, percent)))
