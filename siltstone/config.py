@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,14 +67,21 @@ class Settings:
 class Run:
     """Where a run reads and writes, from the environment."""
 
-    input_dir: str = "data"
-    output_dir: str = "output"
+    data_dir: str = "data"
+    input_dir: str = "input"
+    output_dir: str = "output/siltstone"
+    expected_dir: str = "output/expected"
     n_samples: int = 500_000
     n_clients: int = 5
     batch_size: int = 100
+    #: This one of so many instances, and where a socket source listens.
+    instance_id: int = 1
+    instance_total: int = 1
+    gateway_host: str = "localhost"
+    gateway_port: int = 8080
 
     @staticmethod
     def from_env(env: dict[str, str] | None = None) -> Run:
+        """Each field from the variable of its name in capitals, where that is set and not empty."""
         env = dict(os.environ) if env is None else env
-        default = Run()
-        return Run(*[type(getattr(default, n))(env.get(n.upper(), getattr(default, n))) for n in ("input_dir", "output_dir", "n_samples", "n_clients", "batch_size")])
+        return Run(**{f.name: type(f.default)(env[f.name.upper()]) for f in fields(Run) if env.get(f.name.upper())})

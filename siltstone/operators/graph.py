@@ -66,7 +66,8 @@ def drawn_scatter_gather(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
     p1 = first_period(in_currency(tx, s), s)
     out = p1.join(fan_out(p1, by).where(F.col("destinations") >= s.drawn_least), [*by, *SENDER], "left_semi")
     into = p1.join(fan_in(p1, by).where(F.col("sources") >= s.drawn_least), [*by, *RECEIVER], "left_semi")
-    hops = _hops(out, into, by).groupBy(*by, "a_bank", "a_account", "c_bank", "c_account").agg(F.count_distinct("b_bank", "b_account").alias("intermediaries"))
+    # Edges are distinct, so each intermediary of a pair is one row of it: counts, summed map-side.
+    hops = _hops(out, into, by).groupBy(*by, "a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("intermediaries"))
     return hops.where(F.col("intermediaries") >= s.drawn_least)
 
 

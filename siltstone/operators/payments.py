@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -63,6 +63,21 @@ def converted(tx: DataFrame, s: Settings) -> DataFrame:
     return tx.withColumn("amount", F.col("amount_paid") * rates[F.col("payment_currency")])
 
 
+def day_of(ts: Column, text: bool) -> Column:
+    """The day of a timestamp; of one in text form, the first ten characters with either sign between the numbers."""
+    return F.try_to_date(F.replace(F.substring(ts, 1, 10), F.lit("/"), F.lit("-"))) if text else ts.cast("date")
+
+
+def converted_by_day(tx: DataFrame, rates: DataFrame, s: Settings) -> DataFrame:
+    """`converted` by a table of rates (payment_currency, day, rate); null where the day has none.
+
+    Spark broadcasts the table if it is small.
+    """
+    rated = rates.select("payment_currency", F.col("day").alias("_day"), F.col("rate").alias("_rate"))
+    dated = tx.withColumn("_day", day_of(F.col("ts"), s.period1.text))
+    return dated.join(rated, ["payment_currency", "_day"], "left").select(*tx.columns, (F.col("amount_paid") * F.col("_rate")).alias("amount"))
+
+
 def in_formats(tx: DataFrame, s: Settings) -> DataFrame:
     return tx.where(F.col("payment_format").isin(*s.formats))
 

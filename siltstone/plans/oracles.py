@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..config import USD_RATES
-from .queries import ROUTES, S
+from .queries import ROUTES, SAMPLE, S
 
 _NAMES = ", ".join(f"'{c}'" for c in USD_RATES)
 _RATES = ", ".join(f"('{c}', {r}::DOUBLE)" for c, r in USD_RATES.items())
@@ -108,6 +108,14 @@ _BODIES = {
         UNION ALL SELECT 'q4', bank, account, 0, 0 FROM q4 UNION ALL SELECT 'q5', 0, '', 0, count(*) FROM q5""",
     "batch_json_roundtrip": "SELECT * FROM alltx",
     "route_partitions": f"SELECT from_bank % {ROUTES} AS route, count(*) AS n, count(DISTINCT from_bank) AS banks FROM tx GROUP BY 1",
+    "sample_n": f"""SELECT * FROM tx ORDER BY md5(concat_ws(':', '0', ts::VARCHAR, from_account, to_account, payment_currency, payment_format,
+        floor(amount_received * 10000)::BIGINT::VARCHAR, floor(amount_paid * 10000)::BIGINT::VARCHAR)) LIMIT {SAMPLE}""",
+    "head_rows": "SELECT ts, from_bank, from_account, to_bank, to_account, amount_paid FROM tx ORDER BY ALL LIMIT 5",
+    "converted_by_day": """SELECT ts, from_account, to_account, payment_currency, amount_paid,
+        (CASE WHEN ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1999-01-01' THEN amount_paid * (rate * (1 + day(ts) / 1000.0::DOUBLE)) END) AS amount
+        FROM tx LEFT JOIN rates USING (payment_currency)""",
+    "queue_by_key": "SELECT client_id, 2 * count(*) AS rows FROM alltx GROUP BY client_id",
+    "stream_client_counts": "SELECT client_id, count(*) AS transactions FROM alltx GROUP BY client_id",
     "stream_q1": "SELECT * FROM q1",
     "stream_q2": "SELECT * FROM q2",
     "stream_q3": "SELECT * FROM q3",

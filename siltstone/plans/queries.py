@@ -73,13 +73,14 @@ def q4_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = _tx(spark, sf_dir)
+    """One stored table of transactions feeds all pipelines; each reads the columns and rows that it needs."""
+    tx = sinks.stored(_tx(spark, sf_dir))
     results = {
         "q1": payments.low_payments(tx, S).select("from_bank", "from_account", "amount_paid"),
-        "q2": q2_max_per_bank(spark, sf_dir).select("from_bank", "from_account", "amount_paid"),
+        "q2": payments.largest_with_names(tx, views.accounts(spark, sf_dir), S).select("from_bank", "from_account", "amount_paid"),
         "q3": payments.far_below_average(tx, S).select("from_bank", "from_account", "amount_paid"),
         "q4": graph.scatter_gather(tx, S).toDF("from_bank", "from_account"),
-        "q5": q5_count(spark, sf_dir),
+        "q5": payments.small_converted(tx, S).agg(F.count("*").alias("n")),
     }
     tagged = sinks.report(results)
     # What a result lacks reads as zero or empty here.
@@ -93,7 +94,41 @@ def batch_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.sample(_tx(spark, sf_dir), SAMPLE)
+    # Amounts as whole numbers: engines spell doubles differently.
+    whole = [F.floor(F.col(c) * 10000) for c in ("amount_received", "amount_paid")]
+    return files.sample(_tx(spark, sf_dir), SAMPLE, by=[*[F.col(c) for c in ("ts", "from_account", "to_account", "payment_currency", "payment_format")], *whole])
+
+
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.head(_tx(spark, sf_dir).select("ts", "from_bank", "from_account", "to_bank", "to_account", "amount_paid"))
+
+
+def daily_rates(spark: SparkSession) -> DataFrame:
+    """A made-up table for the view: each currency's rate, moved by up to 3 % with the day of the month, for four years."""
+    days = spark.range(4 * 365 + 1).select(F.date_add(F.lit("1995-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    named = F.explode(F.create_map(*[F.lit(x) for pair in S.rates.items() for x in pair])).alias("payment_currency", "base")
+    return days.select("day", named).select("payment_currency", "day", (F.col("base") * (1 + F.dayofmonth("day") / F.lit(1000.0))).alias("rate"))
+
+
+def converted_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments.converted_by_day(_tx(spark, sf_dir), daily_rates(spark), S).select("ts", "from_account", "to_account", "payment_currency", "amount_paid", "amount")
+
+
+def queue_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch messages published under three routing keys and consumed under two: every row comes twice."""
+    tx = views.transactions(spark, sf_dir)
+    queue = sinks.scratch(spark)
+    sinks.publish(files.to_batches(tx, size=1000), queue, ["filter", "joiner", "counter"])
+    rows = T.StructType([f for f in tx.schema.fields if f.name != "client_id"])
+    received = streams.finished_rows(sinks.consume(spark, queue, ["filter", "counter"]))
+    return files.from_batches(received, rows).groupBy("client_id").agg(F.count("*").alias("rows")).select(F.col("client_id").cast("long").alias("client_id"), "rows")
+
+
+def stream_client_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals after the last of several micro-batches."""
+    tx = views.transactions(spark, sf_dir)
+    after_each = streams.running_counts(streams.in_batches(tx.select("client_id", "ts"), 10**6))
+    return after_each.groupBy("client_id").agg(F.max_by("transactions", "batch").alias("transactions"))
 
 
 def stream_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +178,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_json_roundtrip": batch_json_roundtrip,
     "route_partitions": _over_tx(lambda tx: payments.routed(tx, ROUTES).groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("from_bank").alias("banks"))),
     "sample_n": sample_n,
+    "head_rows": head_rows,
+    "converted_by_day": converted_by_day,
+    "queue_by_key": queue_by_key,
+    "stream_client_counts": stream_client_counts,
     "stream_q1": stream_q1,
     "stream_q2": stream_q2,
     "stream_q3": stream_q3,
