@@ -94,15 +94,25 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         raise
     finally:
         _scopes.open.pop()
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in written:
             if path not in kept:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                _delete(spark, path)
             elif _scopes.open:
                 _scopes.open[-1].append(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `durable` wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_siltstone_path", None):
+            _delete(df.sparkSession, path)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with batches bounded in bytes. Workers are used again by later tasks, so each task gives its memory back."""
 

@@ -13,7 +13,11 @@ per hash bucket within a class, and rows within a bucket. Buckets are as many as
 
 Defined results: null text has size 0; the null source is a source of its own, last in order; a source of
 size 0 has target 0 and takes nothing; repeated rows are separate documents; equal rows tie and are numbered
-in any order, all with the same result in sum; an empty table gives no rows; extra columns, whatever their names, are kept.
+in any order, all with the same result in sum; a very long text is one document, counted in the JVM without being
+split; an empty table gives no rows; extra columns, whatever their names, are kept.
+
+A bucket is what one task sorts. Ids are spread over buckets by their hash; rows that share an id, a source and a size
+class meet in one, however many they are.
 """
 
 from __future__ import annotations
@@ -21,11 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import durable, md5_int
+from .frames import durable, md5_int, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one bucket holds on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_096
 #: Up to so many sources their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -106,12 +110,13 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.
     sized = boxed.select("_row", F.col(f"_row.{key}").alias("_key"), F.explode(F.array(F.col(f"_row.{size}") if size else n_words(F.col(f"_row.{text}")))).alias("_size"))
     # "0" before a name, "1" for none: by code point, null last.
     sized = sized.withColumn("_skey", F.coalesce(F.concat(F.lit("0"), F.col(f"_row.{source}").cast("string")), F.lit("1")))
-    narrow = durable(sized.select("_key", "_size", "_skey"))
-    per_source = durable(sources_of(narrow.select(F.col("_size").alias("size"), F.col("_skey").alias("skey")), weights, share, cap).withColumnRenamed("skey", "_skey"), partitions=1)
-    if per_source.count() <= BROADCAST_SOURCES:
-        per_source = F.broadcast(per_source)
-    buckets = _placed(narrow.join(per_source.select("_skey", "buckets"), "_skey"), "_key").groupBy("_skey", "_class", "_bucket").agg(F.count("*").alias("n"))
-    buckets = durable(buckets)
+    with scratch(df.sparkSession) as keep:
+        narrow = durable(sized.select("_key", "_size", "_skey"))
+        per_source = keep(durable(sources_of(narrow.select(F.col("_size").alias("size"), F.col("_skey").alias("skey")), weights, share, cap).withColumnRenamed("skey", "_skey"), partitions=1))
+        if per_source.count() <= BROADCAST_SOURCES:
+            per_source = F.broadcast(per_source)
+        buckets = _placed(narrow.join(per_source.select("_skey", "buckets"), "_skey"), "_key").groupBy("_skey", "_class", "_bucket").agg(F.count("*").alias("n"))
+        buckets = keep(durable(buckets))
     running = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     classes = buckets.groupBy("_skey", "_class").agg(F.sum("n").alias("class_n"))
     classes = classes.withColumn("class_before", F.coalesce(F.sum("class_n").over(running("_skey", "_class")), F.lit(0)))

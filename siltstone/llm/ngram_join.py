@@ -27,8 +27,9 @@ Words are compared by 64-bit hashes. Texts must be re-readable with the same res
 
 Defined results: null texts, empty texts and texts without words have empty sets, link with nothing and are their
 own component; equal sets always link; rows sharing an id are nodes of their own, whose component is found by their
-texts; a null id never is a component's id unless all ids there are null; an empty table gives no rows; extra
-columns are ignored.
+texts; a null id never is a component's id unless all ids there are null; of ties for the most common member of a
+list the largest name leads, which no result depends on; a very long text is one set, held by one task at a time and
+cut into segments before it is sent; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -499,10 +500,12 @@ def with_class(df: DataFrame, text: str, size: int, column: str) -> DataFrame:
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, **options) -> DataFrame:
     """One row of each group of linked documents (one with the smallest id), all rows without words, all columns."""
-    docs = durable(Join(df, key, text, size, **options).documents("_key"))
-    chosen = docs.where(F.col("_key").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
-    chosen = chosen.groupBy("component").agg(F.min(F.struct("_key", "cls")).alias("it")).select("it._key", F.col("it.cls").alias("_cls"))
-    shared_ids = durable(docs.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key"))
+    with scratch(df.sparkSession) as keep:
+        docs = durable(Join(df, key, text, size, **options).documents("_key"))
+        chosen = docs.where(F.col("_key").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0))
+        chosen = chosen.groupBy("component").agg(F.min(F.struct("_key", "cls")).alias("it")).select("it._key", F.col("it.cls").alias("_cls"))
+        chosen = keep(durable(chosen))
+        shared_ids = keep(durable(docs.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key")))
     # The row travels as one struct, so that none of its columns can clash with those added here.
     boxed = df.select(F.struct("*").alias("_row"))
     same = F.col(f"_row.{key}").eqNullSafe(F.col("_key"))
