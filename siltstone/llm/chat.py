@@ -17,8 +17,8 @@ Defined results: null text or role is empty; a null conversation id is a convers
 sequence numbers are ordered by message, role and text, null sequence last; repeated rows are repeated
 messages; events of a null or unknown kind are ignored, and so are `regenerate` and `delete` with a null message,
 which address none; a conversation whose messages are all deleted formats to the empty string; no rows give no rows.
-One conversation is one value of the result, so its final messages meet in one row; its events are first
-folded per message.
+One conversation is one value of the result, so its final messages meet in one row, however long they are; its events
+are first folded per message. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import BUCKET_ROWS
+from .repetition import MAX_COVERED, MAX_LONGEST, MIN_REPEAT
 
 _CHAT = r"""
 WITH turns AS (
@@ -99,4 +100,27 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(copi
 FROM words JOIN least_id USING (r) LEFT JOIN sizes USING (r) LEFT JOIN degree USING (r) LEFT JOIN copy_of USING (r) LEFT JOIN copies USING (h)
 """
 
-ORACLES = {"op1_ngram_jaccard_join": _JOIN, "op3_chat_formatting": _CHAT, "op7_mixing": _MIX}
+# Words that repeats of at least so many words cover are the words of windows of that many that are found twice or more;
+# a repeat over the limit is a window of one word more than the limit that is found twice or more.
+_windows = lambda size: f"list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))"
+_covered = lambda size: f"""(
+    SELECT r, count(DISTINCT i + k) AS n FROM (
+        SELECT r, i, count(*) OVER (PARTITION BY r, g) AS held FROM (SELECT r, unnest({_windows(size)}) AS g, unnest(range(1, len(w) - {size} + 2)) AS i FROM split) x
+    ) y, range(0, {size}) t(k) WHERE held > 1 GROUP BY r)"""
+_RULES = rf"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM split),
+counted AS (
+    SELECT
+        doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(three.n, 0)::BIGINT AS n_repeat_words, coalesce(cover.n, 0)::BIGINT AS covered_words,
+        len({_windows(MAX_LONGEST + 1)}) > len(list_distinct({_windows(MAX_LONGEST + 1)})) AS too_long_repeat
+    FROM split JOIN lines USING (r) LEFT JOIN {_covered(3)} three USING (r) LEFT JOIN {_covered(MIN_REPEAT)} cover USING (r)
+),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND covered_words <= {MAX_COVERED}::DOUBLE * n_words AND NOT too_long_repeat AS kept FROM failed
+"""
+
+ORACLES = {"op8_quality_rules": _RULES, "op1_ngram_jaccard_join": _JOIN, "op3_chat_formatting": _CHAT, "op7_mixing": _MIX}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, licenses, media, mixing, ngram_join, packing, quality, repetition, sharding, toxicity
-from .frames import durable, table
+from .frames import durable, shared_dir, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.score(table(spark, sf_dir, "documents")).drop("spans")
+    scored = repetition.score(table(spark, sf_dir, "documents"))
+    return scored.withColumn("too_long_repeat", F.col("longest_repeat") > repetition.MAX_LONGEST).drop("spans", "longest_repeat")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"), sharding.SlotMap.build(16))
+    """The map of 16 shards and its next version are stored, and the rows assigned by what is read back."""
+    path = f"{shared_dir(spark)}/siltstone-slot-map-{uuid.uuid4().hex}"
+    built = sharding.SlotMap.build(16)
+    for version in (built, built.grown()):
+        version.save(spark, path)
+    now, grown = (sharding.SlotMap.load(spark, path, v) for v in (built.version, None))
+    return sharding.assign(table(spark, sf_dir, "documents"), now, grown)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

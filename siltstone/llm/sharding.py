@@ -5,7 +5,9 @@ which shard owns each slot; rebalancing edits the map and never the hash. Rows a
 per slot, which is all that planning a move needs.
 
 Defined results: null text has no bytes (size 1, crc32 of the empty text); null keys hash as the empty
-text; repeated rows lie side by side; an empty table gives an empty result; extra columns are ignored.
+text; rows of equal key, size and crc32 tie and lie side by side, repeated rows among them; a very long text is read
+once, in the JVM, and goes no further; an empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +19,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import md5_int
+from .frames import durable, md5_int
 
 SLOTS = 4096
+#: Parts of a slot, by the text's crc32: what one task sorts.
+PARTS = 16
+#: Equal rows spelled out from one array.
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -108,37 +114,46 @@ def records(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int =
     )
 
 
-def slot_totals(rows: DataFrame) -> DataFrame:
-    """vslot, slot_rows, slot_bytes: at most one row per slot, pre-aggregated before the shuffle."""
-    return rows.groupBy("vslot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
+def slot_totals(grouped: DataFrame) -> DataFrame:
+    """vslot, part, n_rows, n_bytes of rows of `size` that stand for `n` equal ones; at most one row per part of a slot."""
+    return grouped.groupBy("vslot", "part").agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.col("size")).alias("n_bytes"))
 
 
-def assign(df: DataFrame, slot_map: SlotMap, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(df: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row with its shard, its gapless place in the shard, and its shard under the map with one shard more.
 
-    A place is the number of rows in the shard's earlier slots plus the row's number within its own slot, so no
-    task sorts more than one virtual slot. The tables joined by broadcast have one row per slot.
+    Equal rows (key, size, crc32) are counted map-side and travel as one, so a key or text that holds much of the table
+    is no hot spot; they are spelled out at the end, in neighbouring places. A place is the number of rows in the
+    shard's earlier slots and parts of slots, plus the place within the part, so no task sorts more than the different
+    rows of one part of one virtual slot. The tables joined by broadcast have one row per slot or part of a slot.
     """
     spark, slots = df.sparkSession, len(slot_map.owners)
-    rows = records(df, key, text, slots)
-    owners = slot_map.frame(spark).join(F.broadcast(slot_map.grown().frame(spark).select("vslot", F.col("shard").alias("grown_shard"))), "vslot")
-    in_shard = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    rows = records(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", slots)
+    grouped = durable(rows.groupBy("key", "size", "text_crc32", "vslot").agg(F.count("*").alias("n")).withColumn("part", (F.col("text_crc32") % PARTS).cast("int")))
+    owners = slot_map.frame(spark).join(F.broadcast((grown or slot_map.grown()).frame(spark).select("vslot", F.col("shard").alias("grown_shard"))), "vslot")
+    in_shard = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        slot_totals(rows)
+        slot_totals(grouped)
         .join(F.broadcast(owners), "vslot")
-        .withColumn("before", F.coalesce(F.sum("slot_rows").over(in_shard), F.lit(0)))
+        .withColumn("before", F.coalesce(F.sum("n_rows").over(in_shard), F.lit(0)))
+        .withColumn("slot_bytes", F.sum("n_bytes").over(Window.partitionBy("vslot")))
+        .drop("n_rows", "n_bytes")
     )
-    in_slot = Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
+    in_part = Window.partitionBy("vslot", "part").orderBy(F.col("key").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("n").over(in_part), F.lit(0))
+    # In two steps, so that no array grows with the table.
+    steps = grouped.withColumn("within", within).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))))
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n") - F.col("step") * STEP, F.lit(STEP)) - 1))
     return (
-        rows.withColumn("nth", F.row_number().over(in_slot))
-        .join(F.broadcast(placed), "vslot")
+        steps.withColumn("nth", nth)
+        .join(F.broadcast(placed), ["vslot", "part"])
         .select(
-            F.col(key),
+            F.col("key").alias(key),
             "size",
             "text_crc32",
             F.lit("key").alias("law"),
             "shard",
-            (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"),
+            (F.col("before") + F.col("within") + F.col("step") * STEP + F.col("nth")).cast("long").alias("slot"),
             "grown_shard",
             "vslot",
             "slot_bytes",

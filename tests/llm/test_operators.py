@@ -252,6 +252,18 @@ def test_chat_events_of_all_kinds_pass_the_fold(spark):
     assert [tuple(m) for m in folded.first().messages] == [("user", "a"), ("user", "b"), ("user", "b"), ("", "")]
 
 
+def test_chat_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    long = "<|im_end|>\\ word " * 100_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (1, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    clashes = {c: F.lit("?") for c in ("kind", "message", "seq", "own", "log", "last", "live", "kept", "m", "messages", "parts", "formatted", "loss_spans", "at", "late", "delta")}
+    for rows in (df, df.withColumns(clashes)):
+        (got,) = chat.parse(chat.format_events(chat.turns_as_events(rows))).collect()
+        assert [tuple(m) for m in got.messages] == [("user", long), ("assistant", long), ("assistant", long), ("", "")] and got.loss_texts == [long, long]
+    events = chat.turns_as_events(df).withColumns({c: F.lit("?") for c in ("own", "log", "last", "live", "kept", "m", "parts", "formatted", "at")})
+    assert chat.format_events(events).count() == 1
+
+
 def test_chat_round_trip_of_odd_texts(spark):
     parts = ["<|im_end|>", "<|", "\\", "<", "|", "\n", "<\\|", "%0A", "\U0001f600", ""]
     turns = [(i, t, r, a + b + c) for i, (a, b, c) in enumerate(itertools.product(parts, repeat=3)) for t, r in enumerate(["us%0A\ner<|", "assistant"])]
@@ -480,6 +492,13 @@ def test_packing(spark, make):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_both_tokenizers_agree_on_a_whole_table():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    assert len(texts) == 1000 and all((packing.encode(t) == packing.encode(t, packing.BPE_JSON)).all() for t in texts)
+
+
 def test_both_tokenizers_agree():
     rng = random.Random(5)
     pool = ["a", " ", "\n", "é", "ß", "\U0001f600", "9", "'s", "<|endoftext|>", "日本", "́", " ", "don't", "\r\n", "x" * 40, "٣", "‍", "Ǆ"]
@@ -597,6 +616,20 @@ def test_quality_rules(spark):
     assert repetition.score(hostile(spark)).count() == 11 and repetition.score(df.limit(0)).count() == 0
 
 
+def test_repeat_limits_as_windows():
+    """What the SQL relies on: repeats of k words or more cover the words of k-word windows found twice."""
+    rng = random.Random(7)
+    for n in (5, 30, 80):
+        for letters in (2, 3, 6):
+            words = [rng.randrange(letters) for _ in range(n)]
+            lengths = repetition.repeat_lengths(np.array(words, dtype=np.uint64))
+            for k in (3, 6, 9):
+                windows = [tuple(words[i : i + k]) for i in range(n - k + 1)]
+                twice = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(k)}
+                assert set(np.flatnonzero(repetition.covered(lengths, k)).tolist()) == twice
+                assert (lengths.max(initial=0) >= k) == bool(twice)
+
+
 def with_passage(n_words, size, times):
     """A text of `n_words` words, all different but for a passage of `size` words that it holds `times` times, apart."""
     passage, others = [f"p{i}" for i in range(size)], [f"w{i}" for i in range(n_words - size * times)]
@@ -808,6 +841,44 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path) == even and sharding.SlotMap.load(spark, path, old.version) == old
 
 
+def brute_places(rows, owners, grown):
+    """Rows by shard, virtual slot, part of it, key (null first), crc32 and size, numbered within their shards."""
+    found = []
+    for r in rows:
+        body = (r.text or "").encode()
+        slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:8], 16) % len(owners)
+        crc = zlib.crc32(body)
+        found.append((owners[slot], slot, crc % sharding.PARTS, r.doc_id is not None, r.doc_id or 0, crc, len(body) + 1))
+    out, next_place = [], {}
+    for shard, slot, _, there, key, crc, size in sorted(found):
+        out.append((key if there else None, size, crc, "key", shard, next_place.get(shard, 0), grown[slot]))
+        next_place[shard] = next_place.get(shard, 0) + 1
+    return out
+
+
+def test_sharding_is_brute_force(spark, monkeypatch):
+    # A third of the rows under one id, half of these equal.
+    hot = spark.range(90).select(F.lit(3).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    df = corpus(spark).unionByName(hostile(spark)).select("doc_id", "text").unionByName(hot)
+    monkeypatch.setattr(sharding, "STEP", 7)
+    for n in (1, 4, 16):
+        old = sharding.SlotMap.build(n)
+        rows = sharding.assign(df, old).collect()
+        got = [(r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in rows]
+        assert sorted(got, key=str) == sorted(brute_places(df.collect(), old.owners, old.grown().owners), key=str)
+        sizes = {}
+        for r in rows:
+            sizes[r.vslot] = sizes.get(r.vslot, 0) + r.size
+        assert all(r.slot_bytes == sizes[r.vslot] and r.map_version == old.version for r in rows)
+    wide = df.withColumns({c: F.lit("?") for c in ("n", "part", "key", "size", "step", "nth", "vslot", "shard", "before", "within")})
+    assert sorted(map(str, sharding.assign(wide, old).collect())) == sorted(map(str, rows))
+
+
+def test_sharding_of_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "é" * 3_000_000), (2, None), (None, "x")], "doc_id long, text string")
+    assert sorted((r["size"], r.text_crc32) for r in sharding.assign(df, sharding.SlotMap.build(2)).collect()) == sorted([(6_000_001, zlib.crc32("é".encode() * 3_000_000)), (1, 0), (2, zlib.crc32(b"x"))])
+
+
 def test_sharding(spark):
     df = corpus(spark).unionByName(hostile(spark))
     rows = sharding.assign(df, sharding.SlotMap.build(4)).collect()
