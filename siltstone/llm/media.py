@@ -122,42 +122,42 @@ def grey(image: np.ndarray) -> np.ndarray:
     return (image.astype(np.uint32) @ np.array([299, 587, 114], dtype=np.uint32) // 1000).astype(image.dtype)
 
 
-def _cuts(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of `parts` equal cells over n samples, as whole samples and the fraction of the next one."""
-    at = np.arange(parts + 1, dtype=np.float64) * n / parts
-    whole = np.minimum(np.floor(at).astype(np.int64), n)
-    return whole, at - whole
+def _between(sums: np.ndarray, parts: int) -> np.ndarray:
+    """`parts` times the sums of `parts` equal cells along axis 0, from the sums of all rows before each; exact."""
+    n = len(sums) - 1
+    at = np.arange(parts + 1, dtype=np.int64) * n
+    whole, over = at // parts, (at % parts).reshape(-1, *[1] * (sums.ndim - 1))
+    low = sums[whole]
+    return np.diff(low * parts + (sums[np.minimum(whole + 1, n)] - low) * over, axis=0)
 
 
-def _at(integral: np.ndarray, whole: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The integral along axis 0 at fractional places."""
-    after = np.minimum(whole + 1, len(integral) - 1)
-    low = integral[whole]
-    return low + (integral[after] - low) * part.reshape(-1, *[1] * (integral.ndim - 1))
-
-
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal cells, fractional edges weighed, as float64. Integral images give each sum in four look-ups.
+def cell_sums(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """height * width times the sums over equal cells, fractional edges weighed, as whole numbers. Integral images give
+    each in four look-ups.
 
     The integral image of the whole would take 8 bytes a sample, so it is taken in strips of rows: across first,
     which leaves `width` columns, then down over those.
     """
     rows, columns = image.shape
-    whole, part = _cuts(columns, width)
-    across = np.empty((rows, width))
+    across = np.empty((rows, width), dtype=np.int64)
     for lo in range(0, rows, STRIP):
-        strip = image[lo : lo + STRIP].astype(np.float64)
-        integral = np.zeros((columns + 1, len(strip)))
+        strip = image[lo : lo + STRIP]
+        integral = np.zeros((columns + 1, len(strip)), dtype=np.int64)
         np.cumsum(strip.T, axis=0, out=integral[1:])
-        across[lo : lo + STRIP] = np.diff(_at(integral, whole, part), axis=0).T
-    down = np.zeros((rows + 1, width))
+        across[lo : lo + STRIP] = _between(integral, width).T
+    down = np.zeros((rows + 1, width), dtype=np.int64)
     np.cumsum(across, axis=0, out=down[1:])
-    return np.diff(_at(down, *_cuts(rows, height)), axis=0) * (height * width / (rows * columns))
+    return _between(down, height)
+
+
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal cells, fractional edges weighed, as float64."""
+    return cell_sums(image, height, width) / float(image.size)
 
 
 def difference_hash(image: np.ndarray, size: int = 8) -> str:
-    """size * size bits: is each cell brighter than its left neighbour? As hex digits."""
-    small = area_resize(grey(image), size, size + 1)
+    """size * size bits: is each cell brighter than its left neighbour? As hex digits. Sums are exact, so ties are 0."""
+    small = cell_sums(grey(image), size, size + 1)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 

@@ -123,4 +123,46 @@ failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT *, NOT base_failed AND covered_words <= {MAX_COVERED}::DOUBLE * n_words AND NOT too_long_repeat AS kept FROM failed
 """
 
-ORACLES = {"op8_quality_rules": _RULES, "op1_ngram_jaccard_join": _JOIN, "op3_chat_formatting": _CHAT, "op7_mixing": _MIX}
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+# The payload in 24 columns. A hash's cells are 3T of its 24T rows high and 8/3 columns wide, so that a column's share of
+# a cell is counted in thirds.
+_MEDIA = rf"""
+WITH crc AS (SELECT {_crc_table()} AS t),
+body AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT r, doc_id, b, octet_length(b) AS n, greatest(1, (octet_length(b) + 575) // 576) AS tiles FROM body),
+padded AS (SELECT r, doc_id, n, tiles, b || unhex(repeat('FF', (576 * tiles - n)::BIGINT)) AS p FROM sized),
+spread AS (SELECT r, tiles, unnest(regexp_extract_all(hex(p), '..')) AS h, unnest(range(576 * tiles)) AS i FROM padded),
+columns AS (SELECT r, (i // 24) // (3 * tiles) AS y, i % 24 AS c, sum(('0x' || h)::INT)::BIGINT AS s FROM spread GROUP BY ALL),
+cells AS (
+    SELECT r, y, x, sum(s * greatest(0, least(3 * (c + 1), 8 * (x + 1)) - greatest(3 * c, 8 * x))) AS s
+    FROM columns, range(9) t(x) WHERE least(3 * (c + 1), 8 * (x + 1)) > greatest(3 * c, 8 * x) GROUP BY ALL
+),
+bits AS (SELECT a.r, a.y, sum(CASE WHEN b.s > a.s THEN 1 << (7 - a.x)::INT ELSE 0 END)::INT AS v FROM cells a JOIN cells b ON a.r = b.r AND a.y = b.y AND b.x = a.x + 1 GROUP BY ALL),
+hashes AS (SELECT r, string_agg(printf('%02x', v), '' ORDER BY y) AS dhash FROM bits GROUP BY r),
+means AS (SELECT r, sum(s) AS s FROM columns GROUP BY r),
+head AS (SELECT r, '{{''descr'': ''|u1'', ''fortran_order'': False, ''shape'': (' || tiles || ', 24, 24)}}' AS h FROM padded),
+stored AS (
+    SELECT r, doc_id, n, tiles, p, '\x93NUMPY\x01\x00'::BLOB || unhex(printf('%02X00', (length(h) + 11 + 63) // 64 * 64 - 10))
+        || encode(h || repeat(' ', (length(h) + 11 + 63) // 64 * 64 - length(h) - 11) || chr(10)) || p AS npy
+    FROM padded JOIN head USING (r)
+)
+SELECT
+    doc_id, n::BIGINT AS n_bytes, octet_length(p)::BIGINT AS payload_bytes, sha256(p) AS payload_sha256,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(right(hex(p), 64), '..'), lambda h: ('0x' || h)::BIGINT)),
+        lambda a, b: xor(t[xor(a, b) % 256 + 1]::BIGINT, a >> 8)), 4294967295::BIGINT) AS tail_crc32,
+    octet_length(npy)::BIGINT AS media_bytes, sha256(npy) AS media_sha256,
+    dhash || ':' || printf('%.6f', s::DOUBLE / octet_length(p)) AS feature, tiles::INT AS n_tiles
+FROM stored JOIN hashes USING (r) JOIN means USING (r), crc
+"""
+
+ORACLES = {"op4_media_columns": _MEDIA, "op8_quality_rules": _RULES, "op1_ngram_jaccard_join": _JOIN, "op3_chat_formatting": _CHAT, "op7_mixing": _MIX}
