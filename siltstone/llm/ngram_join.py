@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .components import connected_components
-from .frames import arrow_map, arrow_schema, durable, fields, scratch
+from .frames import arrow_map, arrow_schema, discard, durable, fields, scratch
 
 SIZE, PERCENT = 5, 80
 #: N-grams that a fragment of step 2 holds on average at most, and that a block of documents holds at least. A row per
@@ -444,12 +444,13 @@ class Join:
             lists = durable(postings(self.sets, percent))
             if all_links:
                 self.links = keep(durable(verified(cross_pairs(lists, self.sets, None, percent), self.sets, percent)))
+                self._stored_links = (self.links,)
                 self.labels = keep(connected_components(self.links))
                 return
             star = keep(durable(verified(star_pairs(lists, percent), self.sets, percent)))
             known = connected_components(star)
             across = keep(durable(verified(cross_pairs(lists, self.sets, known, percent), self.sets, percent)))
-            self.links = star.unionByName(across)
+            self.links, self._stored_links = star.unionByName(across), (star, across)
             self.labels = keep(connected_components(self.links) if across.limit(1).count() else known)
 
     def _sharing_sets(self, df: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -479,10 +480,15 @@ class Join:
 
     def with_links(self, key: str = "doc_id") -> DataFrame:
         """`documents` with n_links: how many other documents each links with, copies included."""
-        linked = durable(degrees(self.sets, self.labels, self.classes, self.percent))
+        with scratch(self.sets.sparkSession) as keep:
+            linked = keep(durable(degrees(self.sets, self.labels, self.classes, self.percent)))
         n_links = F.when(F.col("cls").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
         return self.documents(key).join(linked, "cls", "left").withColumn("n_links", n_links.cast("long")).drop("linked")
 
+    def forget(self) -> None:
+        """Deletes `sets` and `links`, which no result of `documents` or `with_links` reads."""
+        discard(self.sets, *self._stored_links)
+
 
 def with_class(df: DataFrame, text: str, size: int, column: str) -> DataFrame:
     """All columns of `df` and the name of each row's set."""

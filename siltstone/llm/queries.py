@@ -14,7 +14,10 @@ from .frames import durable, shared_dir, table
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ngram_join.Join(docs).with_links().select("doc_id", "n_shingles", "component_id", "copies", "n_links")
+    join = ngram_join.Join(docs)
+    found = join.with_links().select("doc_id", "n_shingles", "component_id", "copies", "n_links")
+    join.forget()
+    return found
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
