@@ -26,17 +26,32 @@ def ranged(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
     return p1.join(kept, [*by, *SENDER], "left_semi")
 
 
+def edges(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
+    """Distinct (sender, receiver) of the first period with `w`, the number of payments."""
+    return first_period(in_currency(tx, s), s).groupBy(*by, *SENDER, *RECEIVER).agg(F.count("*").alias("w"))
+
+
+def _of_degree(e: DataFrame, ends: tuple[str, ...], others: tuple[str, ...], wanted, by: By) -> DataFrame:
+    """The edges whose `ends` have a `degree` as wanted: how many different `others`, none of a null part, they meet."""
+    # `w` is always positive; asking for it keeps this the same exchange as that of the edges, which is reused.
+    met = F.count_if(F.col(others[0]).isNotNull() & F.col(others[1]).isNotNull() & (F.col("w") > 0)).alias("degree")
+    return e.join(e.groupBy(*by, *ends).agg(met).where(wanted), [*by, *ends], "left_semi")
+
+
 def _hops(left: DataFrame, right: DataFrame, by: By) -> DataFrame:
     """a -> b -> c over edges with weights: the join multiplies edges, not payments."""
-    edges = lambda d, ends: d.groupBy(*by, *SENDER, *RECEIVER).agg(F.count("*").alias("w")).toDF(*by, *ends)
-    one = edges(left, ("a_bank", "a_account", "b_bank", "b_account", "w1"))
-    two = edges(right, ("b_bank", "b_account", "c_bank", "c_account", "w2"))
+    one = left.select(*by, *SENDER, *RECEIVER, "w").toDF(*by, "a_bank", "a_account", "b_bank", "b_account", "w1")
+    two = right.select(*by, *SENDER, *RECEIVER, "w").toDF(*by, "b_bank", "b_account", "c_bank", "c_account", "w2")
     return one.join(two, [*by, "b_bank", "b_account"]).where((F.col("a_bank") != F.col("c_bank")) | (F.col("a_account") != F.col("c_account")))
 
 
 def two_hop_paths(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
-    """a, b, c and the number of pairs of payments along them. Both hops come from the kept senders."""
-    kept = ranged(tx, s, by)
+    """a, b, c and the number of pairs of payments along them. Both hops come from the kept senders (those of `ranged`).
+
+    Payments become edges first, so they are read and shuffled once; degrees and both hops start from that exchange.
+    """
+    low, high = s.destinations
+    kept = _of_degree(edges(tx, s, by), SENDER, RECEIVER, (F.col("degree") > low) & (F.col("degree") < high), by)
     return _hops(kept, kept, by).select(*by, "a_bank", "a_account", "b_bank", "b_account", "c_bank", "c_account", (F.col("w1") * F.col("w2")).alias("paths"))
 
 
@@ -63,9 +78,9 @@ def scatter_gather(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
 
 def drawn_scatter_gather(tx: DataFrame, s: Settings, by: By = ()) -> DataFrame:
     """The drawn variant: wide senders to wide receivers over at least `drawn_least` distinct intermediaries."""
-    p1 = first_period(in_currency(tx, s), s)
-    out = p1.join(fan_out(p1, by).where(F.col("destinations") >= s.drawn_least), [*by, *SENDER], "left_semi")
-    into = p1.join(fan_in(p1, by).where(F.col("sources") >= s.drawn_least), [*by, *RECEIVER], "left_semi")
+    all_edges = edges(tx, s, by)
+    out = _of_degree(all_edges, SENDER, RECEIVER, F.col("degree") >= s.drawn_least, by)
+    into = _of_degree(all_edges, RECEIVER, SENDER, F.col("degree") >= s.drawn_least, by)
     # Edges are distinct, so each intermediary of a pair is one row of it: counts, summed map-side.
     hops = _hops(out, into, by).groupBy(*by, "a_bank", "a_account", "c_bank", "c_account").agg(F.count("*").alias("intermediaries"))
     return hops.where(F.col("intermediaries") >= s.drawn_least)
