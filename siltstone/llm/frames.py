@@ -82,8 +82,9 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     kept: set[str] = set()
 
     def keep(df: DataFrame) -> DataFrame:
-        if path := getattr(df, "_siltstone_path", None):
-            kept.add(path)
+        if not getattr(df, "_siltstone_path", None):
+            raise ValueError("only what durable returned can be kept")
+        kept.add(df._siltstone_path)
         return df
 
     _scopes.open.append(written)

@@ -175,9 +175,30 @@ def test_scratch_tables_are_deleted(spark):
         assert there(passed) and not any(os.path.exists(f.removeprefix("file://")) for f in files)
         keep(passed)
         of_lost = lost.inputFiles()
+        with pytest.raises(ValueError):
+            keep(kept.select("id"))
     assert there(kept) and kept.count() == 3 and passed.count() == 2 and not any(os.path.exists(f.removeprefix("file://")) for f in of_lost)
 
 
+def test_shared_folder_is_never_a_local_one_on_a_cluster(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, master, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+            self.sparkContext = type("Context", (), {"master": master, "getConf": lambda _: Conf()})()
+
+    found = lambda master, **conf: frames.shared_dir(Session(master, **conf))
+    assert found("yarn", spark_checkpoint_dir="hdfs://a/b/") == "hdfs://a/b" and found("local[4]", spark_sql_warehouse_dir="/w") == "/w/_checkpoints"
+    assert found("yarn", spark_sql_warehouse_dir="s3a://w") == "s3a://w/_checkpoints"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:1"):
+        for folder in ("/w", "file:/w", "file:///w", "w"):
+            with pytest.raises(ValueError):
+                found(master, spark_sql_warehouse_dir=folder)
+
+
 def test_chains_across_stars_are_found(spark):
     """Neighbours link, ends don't: connecting them needs every link of the chain."""
     base = [f"w{i}" for i in range(104)]
