@@ -16,8 +16,8 @@ size 0 has target 0 and takes nothing; repeated rows are separate documents; equ
 in any order, all with the same result in sum; a very long text is one document, counted in the JVM without being
 split; an empty table gives no rows; extra columns, whatever their names, are kept.
 
-A bucket is what one task sorts. Ids are spread over buckets by their hash; rows that share an id, a source and a size
-class meet in one, however many they are.
+A bucket is what one task sorts. Rows are spread over buckets by a hash of id and size; rows that share a source, an id
+and a size meet in one, however many they are.
 """
 
 from __future__ import annotations
@@ -91,10 +91,13 @@ def size_class(size: Column) -> Column:
 
 
 def _placed(df: DataFrame, key: str) -> DataFrame:
-    """Adds what orders a source's rows: size class, bucket of the keyed hash, the hash itself."""
+    """Adds what orders a source's rows: size class, bucket of the keyed hash, the hash itself.
+
+    The size is hashed along, so rows that share an id are spread by their sizes.
+    """
     return (
         df.withColumn("_class", size_class(F.col("_size")))
-        .withColumn("_hash", md5_int(F.col(key)))
+        .withColumn("_hash", md5_int(F.col(key), F.col("_size")))
         .withColumn("_bucket", F.floor(F.col("_hash") * F.col("buckets") / F.lit(4294967296.0)))
     )
 

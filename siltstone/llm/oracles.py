@@ -29,7 +29,7 @@ WITH sized AS (
     SELECT
         doc_id, coalesce('0' || source, '1') AS skey,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 8))::BIGINT AS hash
     FROM documents
 ),
 per AS (

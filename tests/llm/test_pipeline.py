@@ -1,13 +1,18 @@
 """The pipeline's stages against their operators, on a small table."""
 
+import itertools
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import ngram_join, packing
+from siltstone.llm import mixing, ngram_join, packing, quality, textkit, toxicity
 from siltstone.llm.queries import QUERIES
 
-from .test_operators import DOCS, hostile, labelled
+from .test_operators import DOCS, SPACE, brute_components, hostile, labelled, plain_features, shingles
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +41,63 @@ def test_stages(spark, folder):
     assert pieces.agg(F.sum("length")).first()[0] == tokens
 
 
+def test_stages_are_brute_force(spark, folder):
+    """Each stage's rows from its predecessor's: scores row by row, all pairs, targets by source, ids end to end."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = lambda rows: sorted((str(r.doc_id), r.text or "") for r in rows)
+
+    good = ngram_join.durable(stages["quality classifier"](spark, docs, folder))
+    model = quality.fit(docs, labels)
+    logit = lambda x: float(np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2)
+    assert ids(good.collect()) == ids(r for r in docs.collect() if logit(np.array(plain_features(r.text or ""), dtype=np.float32)) >= 0)
+
+    clean = ngram_join.durable(stages["toxicity"](spark, good, folder))
+    model = toxicity.fit(good, labels)
+    alone = [next(textkit.slices(pa.array([r.text or ""]))) for r in good.collect()]
+    tagged = [model.tag(buf, bounds) for _, _, buf, bounds in alone]
+    assert ids(clean.collect()) == ids(r for r, (p, _, _, first) in zip(good.collect(), tagged, strict=True) if model.scores(p, first)[0] < 0.5)
+
+    one = ngram_join.durable(stages["n-gram Jaccard join"](spark, clean, folder))
+    rows = clean.collect()
+    groups = {c for d, n, c, _ in brute_components(rows) if n}
+    # The smallest id of each group; of rows that share it, one.
+    assert sorted(str(r.doc_id) for r in one.collect() if shingles(r.text)) == sorted(map(str, groups))
+    assert ids(r for r in one.collect() if not shingles(r.text)) == ids(r for r in rows if not shingles(r.text))
+
+    mixed = ngram_join.durable(stages["mixing"](spark, one, folder))
+    words = lambda r: len(SPACE.findall(r.text or ""))
+    sizes, taken, largest = {}, {}, {}
+    for r in one.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + words(r)
+        largest[r.source] = max(largest.get(r.source, 0), words(r))
+    for r in mixed.collect():
+        taken[r.source] = taken.get(r.source, 0) + words(r)
+    times = Counter(str(r) for r in mixed.collect())
+    held = Counter(str(r) for r in one.collect())
+    assert all(times[r] <= 2 * held[r] for r in times)
+    for source, target in mixing.targets(sizes, (5, 2, 1), 1.5, 2.0).items():
+        assert abs(taken.get(source, 0) - target) <= 2 * largest[source]
+
+    pieces = stages["packing"](spark, mixed, folder).collect()
+    expected = Counter()
+    for r in mixed.collect():
+        expected[r.doc_id, len(packing.encode(r.text))] += 1
+    spans, sequences = {}, {}
+    for p in pieces:
+        spans.setdefault((p.doc_id, p.doc_tokens), []).append((p.start, p.start + p.length))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.offset + p.length))
+    for (doc, tokens), own in spans.items():
+        # Every id of every copy lies in one piece.
+        cover = Counter(i for a, b in own for i in range(a, b))
+        assert set(cover) == set(range(tokens)) and set(cover.values()) == {expected[doc, tokens]}
+    assert set(spans) == set(expected)
+    for own in sequences.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(own)) and own[-1][1] <= packing.WINDOW
+
+
 def test_stages_on_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
