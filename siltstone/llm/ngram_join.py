@@ -53,7 +53,7 @@ SIZE, PERCENT = 5, 80
 #: N-grams that a fragment of step 2 holds on average at most, and that a block of documents holds at least. A row per
 #: block and fragment is no burden while fragments are far fewer than a block's n-grams, that is up to 10**11 or so
 #: n-grams; beyond, both numbers should grow with the root of the input.
-FRAGMENT_GRAMS, BLOCK_GRAMS = 4_000_000, 1_000_000
+FRAGMENT_GRAMS, BLOCK_GRAMS = 1_000_000, 1_000_000
 MIN_FRAGMENTS = 16
 #: Fragments of the order in step 4, as a power of two.
 SEGMENT_BITS = 3
