@@ -466,9 +466,14 @@ class Join:
 
     def documents(self, key: str = "doc_id") -> DataFrame:
         """key, n_shingles, component_id, copies (rows with an equal set), cls, component: one row per document."""
-        named = self.classes.join(self.labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        smallest = named.groupBy("component").agg(F.min("first_key").alias("component_id"))
-        by_class = named.join(smallest, "component").select("cls", "component_id", "copies", "component")
+        linked = self.labels.withColumnRenamed("node", "cls").join(self.classes.select("cls", "first_key"), "cls")
+        # Stored for the same reason as in `postings`: a component may hold very many classes.
+        smallest = durable(linked.groupBy("component").agg(F.min("first_key").alias("component_id")))
+        named = linked.join(smallest, "component").select("cls", "component", "component_id")
+        # A class without links is its own component.
+        by_class = self.classes.join(named, "cls", "left").select(
+            "cls", "copies", F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("first_key")).otherwise(F.col("component_id")).alias("component_id")
+        )
         return self.members.join(by_class, "cls", "left").select(
             F.col("key").alias(key),
             F.col("n").alias("n_shingles"),
