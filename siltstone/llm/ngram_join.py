@@ -470,9 +470,11 @@ class Join:
         # Stored for the same reason as in `postings`: a component may hold very many classes.
         smallest = durable(linked.groupBy("component").agg(F.min("first_key").alias("component_id")))
         named = linked.join(smallest, "component").select("cls", "component", "component_id")
-        # A class without links is its own component.
-        by_class = self.classes.join(named, "cls", "left").select(
-            "cls", "copies", F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("first_key")).otherwise(F.col("component_id")).alias("component_id")
+        # A class without links is its own component. Stored, too, as a class may have very many copies.
+        by_class = durable(
+            self.classes.join(named, "cls", "left").select(
+                "cls", "copies", F.coalesce("component", "cls").alias("component"), F.when(F.col("component").isNull(), F.col("first_key")).otherwise(F.col("component_id")).alias("component_id")
+            )
         )
         return self.members.join(by_class, "cls", "left").select(
             F.col("key").alias(key),
